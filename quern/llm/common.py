@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Stands for a null id in join keys.
-NULL_ID = -(2**63)
+#: Stands for a null id in join keys; the largest id, so that any other is less.
+NULL_ID = 2**63 - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
 
 
+def has_words(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
+
+
 def text_keys(text: Column) -> dict[str, Column]:
     """128 bits that stand for a text; null and empty texts differ."""
     return {"k1": F.xxhash64(F.lit(1), text), "k2": F.xxhash64(F.lit(2), text, F.length(text))}
@@ -58,7 +62,7 @@ def indexed(df: DataFrame, group: str, order: list[str], out: str, rows_per_buck
     large a group is.  ``group`` isn't null.
     """
     bits = max(0, (df.count() // rows_per_bucket).bit_length())
-    sign_free = F.col(order[0]).bitwiseXOR(F.lit(NULL_ID))
+    sign_free = F.col(order[0]).bitwiseXOR(F.lit(-(2**63)))
     bucket = F.shiftrightunsigned(sign_free, 64 - bits) if bits else F.lit(0).cast("long")
     dealt = df.withColumn("__bucket", bucket)
     before = Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, urls
+from quern.llm import decontaminate, jaccard, quality, urls
 from quern.llm.common import table
 
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rated.select("doc_id", "lang", F.round("perplexity", 4).alias("perplexity"), F.round("limit", 4).alias("limit"), "accepted")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.coalesce("items", F.array().cast("array<string>"))
@@ -81,5 +90,10 @@ SELECT page_id, host, path, rule,
 FROM base LEFT JOIN said ON alias = s
 """
 
-QUERIES = {"op4_decontaminate": op4_decontaminate, "op8_url_filter": op8_url_filter}
+QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
+    "op2_quality": op2_quality,
+    "op4_decontaminate": op4_decontaminate,
+    "op8_url_filter": op8_url_filter,
+}
 ORACLES = {"op4_decontaminate": OP4_SQL, "op8_url_filter": OP8_SQL}
