@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from quern.llm.common import checkpoint
 
@@ -147,30 +148,31 @@ def _cost_table(model: dict[int, tuple[np.ndarray, ...]]) -> np.ndarray:
     return under
 
 
-def score(documents: DataFrame, model: dict[int, tuple[np.ndarray, ...]], text_col: str = "text") -> DataFrame:
-    """``documents`` with ``symbols`` (long) and ``bits`` (double) of each text."""
+def score(documents: DataFrame, model: dict[int, tuple[np.ndarray, ...]], text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """``documents``, without the text unless asked for, and ``__symbols`` (long)
+    and ``__bits`` (double) of each text."""
     sent = documents.sparkSession.sparkContext.broadcast(model)  # at most 2 * 64**4 numbers
     at = documents.columns.index(text_col)
+    kept = [i for i in range(len(documents.columns)) if keep_text or i != at]
     built: list[np.ndarray] = []
 
     def stage(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             if not built:
                 built.append(_cost_table(sent.value))
-            symbols, bits = [], []
+            symbols, bits = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
             for texts in _batches(part.column(at).to_pylist()):
                 codes, where = _grams(texts)
                 sums = np.concatenate(([0.0], np.cumsum(built[0][codes], dtype=np.float64)))
                 symbols.append(np.diff(where))
                 bits.append(np.diff(sums[where]))
             yield pa.RecordBatch.from_arrays(
-                [*(c for i, c in enumerate(part.columns) if i != at), pa.array(np.concatenate(symbols) if symbols else [], pa.int64()), pa.array(np.concatenate(bits) if bits else [], pa.float64())],
-                names=[*(n for i, n in enumerate(part.schema.names) if i != at), "symbols", "bits"],
+                [*(part.column(i) for i in kept), pa.array(np.concatenate(symbols)), pa.array(np.concatenate(bits))],
+                names=[*(part.schema.names[i] for i in kept), "__symbols", "__bits"],
             )
 
-    kept = [f for f in documents.schema.fields if f.name != text_col]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "symbols long", "bits double"])
-    return documents.mapInArrow(stage, schema)
+    fields = [documents.schema.fields[i] for i in kept]
+    return documents.mapInArrow(stage, StructType([*fields, StructField("__symbols", LongType()), StructField("__bits", DoubleType())]))
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality", toxic_col: str = "toxic") -> DataFrame:
@@ -192,31 +194,61 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     return ranked.where(F.col("below") >= F.ceil(F.col("all") * quantile)).groupBy("language").agg(F.min("score").alias("limit"))
 
 
-def classify(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
-    """One row per document row: the columns of ``documents`` but the text,
-    and perplexity, limit (perplexity) and accepted.
+def _rated(scored: DataFrame, means: DataFrame) -> DataFrame:
+    """Adds __mean and __score (whole steps of bits a symbol)."""
+    drawn = (F.col("__bits") + PRIOR_SYMBOLS * F.col("__mean")) / (F.col("__symbols") + PRIOR_SYMBOLS)
+    return scored.join(F.broadcast(means), "__language").withColumn("__score", F.ceil(drawn * STEPS).cast("long"))
+
+
+def _fit(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float):
+    """Model, scores of all documents, and mean and limit of each language.
 
-    Perplexity is that of whole texts; a short text's mean is drawn to the mean
-    of its language.  Texts without characters (null, empty) have no
-    perplexity and are accepted, as is a language without trusted text.  A null
-    language is one language; repeated rows each keep their row.
+    Languages are as many as the language column names: a table to broadcast.
     """
     ids = trusted_ids(labels, id_col)
     text = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(ids.hint("shuffle_hash"), "id", "left_semi").select("text")
-    scored = score(documents.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).drop(text_col), train(text), "__text")
-    scored = scored.withColumnRenamed("symbols", "__symbols").withColumnRenamed("bits", "__bits").withColumn("__language", F.coalesce(F.col(lang_col), F.lit("")))
-    scored = checkpoint(scored)
-    flags = ids.select(F.col("id").alias("__id"), F.lit(True).alias("__trusted"))
+    model = train(text)
+    scored = checkpoint(score(documents.withColumn("__language", F.coalesce(F.col(lang_col), F.lit(""))), model, text_col))
     means = scored.groupBy("__language").agg((F.sum("__bits") / F.greatest(F.sum("__symbols"), F.lit(1))).alias("__mean"))
-    drawn = (F.col("__bits") + PRIOR_SYMBOLS * F.col("__mean")) / (F.col("__symbols") + PRIOR_SYMBOLS)
-    rated = scored.join(F.broadcast(means), "__language").withColumn("__score", F.ceil(drawn * STEPS).cast("long"))
-    flagged = rated.where("__symbols > 0").join(flags, F.col(id_col) == F.col("__id"), "left_semi").select(F.col("__language").alias("language"), F.col("__score").alias("score"), F.lit(True).alias("trusted"))
-    limits = thresholds(flagged, quantile).select(F.col("language").alias("__language"), (F.col("limit") + MARGIN_BITS * STEPS).alias("__limit"))
+    flags = ids.select(F.col("id").alias("__id"))
+    trusted = _rated(scored, means).where("__symbols > 0").join(flags, F.col(id_col) == F.col("__id"), "left_semi")
+    limits = thresholds(trusted.select(F.col("__language").alias("language"), F.col("__score").alias("score"), F.lit(True).alias("trusted")), quantile)
+    limits = limits.select(F.col("language").alias("__language"), (F.col("limit") + MARGIN_BITS * STEPS).alias("__limit"))
+    return model, scored, means, limits
+
+
+def classify(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
+    """One row per document row: the columns of ``documents`` but the text,
+    and perplexity, score, limit (perplexities too) and accepted.
+
+    Perplexity is that of whole texts; for the score a short text's mean is
+    drawn to the mean of its language.  Texts without characters (null, empty)
+    have no perplexity and are accepted, as is a language without trusted text.
+    A null language is one language; repeated rows each keep their row.
+    Columns of ``documents`` named like the results are replaced.
+    """
+    documents = documents.drop("perplexity", "score", "limit", "accepted")
+    _, scored, means, limits = _fit(documents, labels, id_col, text_col, lang_col, quantile)
     return (
-        rated.join(F.broadcast(limits), "__language", "left")
+        _rated(scored, means)
+        .join(F.broadcast(limits), "__language", "left")
         .withColumn("perplexity", F.when(F.col("__symbols") > 0, F.pow(F.lit(2.0), F.col("__bits") / F.greatest("__symbols", F.lit(1)))))
         .withColumn("score", F.pow(F.lit(2.0), F.col("__score") / STEPS))
         .withColumn("limit", F.pow(F.lit(2.0), F.col("__limit") / STEPS))
-        .withColumn("accepted", F.coalesce(F.col("__score") <= F.col("__limit"), F.lit(True)) | (F.col("__symbols") == 0))
-        .drop("__language", "__symbols", "__bits", "__mean", "__score", "__limit")
+        .withColumn("accepted", _accepted())
+        .select(*(c for c in documents.columns if c != text_col), "perplexity", "score", "limit", "accepted")
     )
+
+
+def _accepted() -> Column:
+    return F.coalesce(F.col("__score") <= F.col("__limit"), F.lit(True)) | (F.col("__symbols") == 0)
+
+
+def accepted_documents(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
+    """The documents that ``classify`` accepts, with their texts.
+
+    Texts are scored once more where they lie, so none is shuffled for this.
+    """
+    model, _, means, limits = _fit(documents, labels, id_col, text_col, lang_col, quantile)
+    scored = score(documents.withColumn("__language", F.coalesce(F.col(lang_col), F.lit(""))), model, text_col, keep_text=True)
+    return _rated(scored, means).join(F.broadcast(limits), "__language", "left").where(_accepted()).select(*documents.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, jaccard, quality, urls
+from quern.llm import decontaminate, jaccard, lines, mixing, quality, sharding, urls
 from quern.llm.common import table
 
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -20,6 +20,29 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "lang", F.round("perplexity", 4).alias("perplexity"), F.round("limit", 4).alias("limit"), "accepted")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_removed", "n_chunks_removed", F.md5("text").alias("text_md5"))
+
+
+OP3_SQL = """
+WITH doc AS (SELECT DISTINCT doc_id, text FROM documents WHERE contains(text, chr(10))),
+line AS (SELECT doc_id, text, i, l[i] AS s FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM doc), unnest(range(1, len(l) + 1)) AS t(i)),
+roll AS (SELECT *, CASE WHEN i > 2 AND substr(md5(md5(lag(s, 2) OVER w) || md5(lag(s) OVER w)), 1, 1) IN ('0', '1', '2', '3') THEN 1 ELSE 0 END AS starts
+         FROM line WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)),
+numbered AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id, text ORDER BY i) AS c FROM roll),
+chunk AS (SELECT doc_id, text, c, min(i) AS pos, count(*) AS n, string_agg(s, chr(10) ORDER BY i) AS body FROM numbered GROUP BY doc_id, text, c HAVING count(*) > 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS nth FROM chunk),
+gone AS (SELECT doc_id, text, c, n FROM ranked WHERE nth > 1),
+per AS (SELECT doc_id, text, sum(n) AS n_removed, count(*) AS n_chunks FROM gone GROUP BY ALL),
+kept AS (SELECT doc_id, text, string_agg(s, chr(10) ORDER BY i) AS rest FROM numbered ANTI JOIN gone USING (doc_id, text, c) GROUP BY doc_id, text)
+SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_chunks, 0) AS BIGINT) AS n_chunks_removed,
+       md5(CASE WHEN n_removed IS NULL THEN d.text ELSE coalesce(rest, '') END) AS text_md5
+FROM documents d LEFT JOIN per USING (doc_id, text) LEFT JOIN kept USING (doc_id, text)
+"""
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.coalesce("items", F.array().cast("array<string>"))
@@ -52,6 +75,15 @@ FROM doc LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "block", "slot", "place", "on_target")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_rows(table(spark, sf_dir, "documents"), leaves=24)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -93,7 +125,10 @@ FROM base LEFT JOIN said ON alias = s
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_quality": op2_quality,
+    "op3_line_dedup": op3_line_dedup,
     "op4_decontaminate": op4_decontaminate,
+    "op5_mixing": op5_mixing,
+    "op6_sharding": op6_sharding,
     "op8_url_filter": op8_url_filter,
 }
-ORACLES = {"op4_decontaminate": OP4_SQL, "op8_url_filter": OP8_SQL}
+ORACLES = {"op3_line_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op8_url_filter": OP8_SQL}
