@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, jaccard, lines, mixing, quality, sharding, urls
+from quern.llm import decontaminate, jaccard, lines, mixing, passages, quality, sharding, urls
 from quern.llm.common import table
 
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -122,6 +122,10 @@ SELECT page_id, host, path, rule,
 FROM base LEFT JOIN said ON alias = s
 """
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_quality": op2_quality,
@@ -130,5 +134,6 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
     "op8_url_filter": op8_url_filter,
+    "op10_passages": op10_passages,
 }
 ORACLES = {"op3_line_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op8_url_filter": OP8_SQL}
