@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, jaccard, lines, mixing, passages, quality, sharding, urls
+from quern.llm import decontaminate, jaccard, lines, mixing, passages, quality, sharding, topk, urls
 from quern.llm.common import table
 
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -84,6 +84,21 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
+OP7_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -133,7 +148,8 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
+    "op7_top_k": op7_top_k,
     "op8_url_filter": op8_url_filter,
     "op10_passages": op10_passages,
 }
-ORACLES = {"op3_line_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op8_url_filter": OP8_SQL}
+ORACLES = {"op3_line_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op7_top_k": OP7_SQL, "op8_url_filter": OP8_SQL}
