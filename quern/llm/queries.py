@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, jaccard, lines, mixing, passages, quality, sharding, topk, urls
+from quern.llm import chat, decontaminate, jaccard, lines, mixing, passages, quality, sharding, topk, urls
 from quern.llm.common import table
 
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -137,6 +137,12 @@ SELECT page_id, host, path, rule,
 FROM base LEFT JOIN said ON alias = s
 """
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = chat.parse_transcripts(table(spark, sf_dir, "conversations"))
+    first = F.get(F.col("parsed"), F.lit(0))["role"]
+    return parsed.select("conv_id", "turn", "role", first.alias("found_role"), F.size("parsed").alias("n_turns"), F.sha2(chat.rendered(F.col("parsed")), 256).alias("rendered_sha256"))
+
+
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -150,6 +156,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_top_k": op7_top_k,
     "op8_url_filter": op8_url_filter,
+    "op9_chat_format": op9_chat_format,
     "op10_passages": op10_passages,
 }
 ORACLES = {"op3_line_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op7_top_k": OP7_SQL, "op8_url_filter": OP8_SQL}
