@@ -1 +1,8 @@
 """A PySpark-native analytics engine."""
+
+from pyspark.sql import Row, Window, WindowSpec  # noqa: F401
+
+from quern.frame import Frame, Grouped  # noqa: F401
+from quern.session import Session, get_active_session, set_active_session  # noqa: F401
+
+DataFrame = Frame
