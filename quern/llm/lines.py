@@ -56,15 +56,19 @@ def repeated_chunks(documents: DataFrame, text_col: str = "text", id_col: str =
     cut = docs.select("did", "k1", "k2", lines_of(F.col("text")).alias("lines")).withColumn("starts", chunk_starts(F.col("lines")))
     chunks = cut.select("did", "k1", "k2", F.explode(chunks_of(F.col("lines"), F.col("starts"))).alias("c")).where(F.col("c.n") >= MIN_LINES)
     chunks = chunks.select("did", "k1", "k2", "c.at", "c.n", F.col("c.text").alias("chunk")).withColumns({"c1": F.xxhash64(F.lit(1), "chunk"), "c2": F.xxhash64(F.lit(2), "chunk")})
-    places = checkpoint(chunks.select("did", "k1", "k2", "at", "n", "c1", "c2").distinct())
-    often = places.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    seen = chunks.join(often, ["c1", "c2"], "left_semi")
-    firsts = seen.groupBy("c1", "c2", "chunk").agg(F.min(F.struct("did", "k1", "k2", "at")).alias("first"))
-    same = firsts.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("texts"), F.first("first").alias("first"))
-    plain = places.join(same.where("texts = 1").drop("texts"), ["c1", "c2"])
-    odd = seen.join(same.where("texts > 1").select("c1", "c2"), ["c1", "c2"], "left_semi").join(firsts, ["c1", "c2", "chunk"])
-    spans = plain.select("did", "k1", "k2", "at", "n", "first").unionByName(odd.select("did", "k1", "k2", "at", "n", "first"))
-    later = spans.where(F.struct("did", "k1", "k2", "at") != F.col("first"))
+    place = ["did", "k1", "k2", "at"]
+    # One shuffle of chunk bytes: equal bytes are one row here, whatever their keys.
+    texts = chunks.groupBy("c1", "c2", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    often = checkpoint(texts.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("texts"), F.max("n").alias("times")).where("times > 1").drop("times"))
+    places = checkpoint(chunks.select(*place, "n", "c1", "c2").distinct().join(often, ["c1", "c2"]))
+    firsts = places.where("texts = 1").groupBy("c1", "c2").agg(F.min(F.struct(*place)).alias("first"))
+    spans = places.where("texts = 1").join(firsts, ["c1", "c2"]).select(*place, "n", "first")
+    mixed = often.where("texts > 1").select("c1", "c2")
+    if not mixed.isEmpty():  # chunks of equal keys and other bytes: their bytes are grouped themselves
+        odd = chunks.join(mixed, ["c1", "c2"], "left_semi")
+        firsts = odd.groupBy("c1", "c2", "chunk").agg(F.min(F.struct(*place)).alias("first"))
+        spans = spans.unionByName(odd.join(firsts, ["c1", "c2", "chunk"]).select(*place, "n", "first"))
+    later = spans.where(F.struct(*place) != F.col("first"))
     return later.groupBy("did", "k1", "k2").agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("removed"))
 
 
