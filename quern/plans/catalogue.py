@@ -1,21 +1,4 @@
 """All queries over the driver tables, by name, with the SQL they must equal."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def q1_pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
-    price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(price), 2).alias("sum_disc_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("count_order")
-    )
-
-
-QUERIES = {"q1_pricing_summary": q1_pricing_summary}
-ORACLES = {
-    "q1_pricing_summary": """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
-    round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL"""
-}
+from quern.plans import aggregates, io_sql, learning, relational, reshaping, scalars, windows  # noqa: F401
+from quern.plans.base import ORACLES, QUERIES  # noqa: F401
