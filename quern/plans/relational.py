@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from quern import functions as Q
 from quern.plans.base import query
 
-PRICE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+def price():
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
 def ts(text: str):
@@ -18,8 +19,8 @@ def ts(text: str):
     FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
 def q1_pricing_summary(lineitem):
     return lineitem.where(F.col("l_shipdate") <= ts("1998-09-02")).groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"), F.round(F.sum(PRICE), 2).alias("sum_disc_price"),
-        F.round(F.sum(PRICE * (1 + F.col("l_tax"))), 2).alias("sum_charge"), F.round(F.avg("l_quantity"), 6).alias("avg_qty"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("count_order"),
+        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"), F.round(F.sum(price()), 2).alias("sum_disc_price"),
+        F.round(F.sum(price() * (1 + F.col("l_tax"))), 2).alias("sum_charge"), F.round(F.avg("l_quantity"), 6).alias("avg_qty"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("count_order"),
     )
 
 
@@ -37,7 +38,7 @@ def q6_forecast_revenue(lineitem):
 def q3_top_unshipped(customer, orders, lineitem):
     open_orders = customer.where("c_mktsegment = 'BUILDING'").join(orders.where(F.col("o_orderdate") < ts("1998-03-15")), F.col("c_custkey") == F.col("o_custkey"))
     sold = open_orders.join(lineitem.where(F.col("l_shipdate") > ts("1998-03-15")), F.col("l_orderkey") == F.col("o_orderkey"))
-    return sold.groupBy("l_orderkey", "o_orderdate").agg(F.round(F.sum(PRICE), 2).alias("revenue")).orderBy("revenue DESC", "l_orderkey").limit(10)
+    return sold.groupBy("l_orderkey", "o_orderdate").agg(F.round(F.sum(price()), 2).alias("revenue")).orderBy("revenue DESC", "l_orderkey").limit(10)
 
 
 @query("customer", "orders", "lineitem", "supplier", "nation", "region", sql="""SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
@@ -47,7 +48,7 @@ def q5_local_supplier_volume(customer, orders, lineitem, supplier, nation, regio
     near = region.where("r_name = 'ASIA'").join(nation, F.col("r_regionkey") == F.col("n_regionkey")).join(supplier, F.col("s_nationkey") == F.col("n_nationkey"))
     sold = lineitem.join(near, F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
     local = sold.join(customer, (F.col("c_custkey") == F.col("o_custkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
-    return local.groupBy("n_name").agg(F.round(F.sum(PRICE), 2).alias("revenue"))
+    return local.groupBy("n_name").agg(F.round(F.sum(price()), 2).alias("revenue"))
 
 
 @query("orders", sql="SELECT o_orderkey, o_totalprice * 2 AS doubled, upper(o_orderstatus) AS status FROM orders")

@@ -6,15 +6,21 @@ from pyspark.sql import functions as F
 from quern import functions as Q
 from quern.plans.base import query
 
-BY_CUSTOMER = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-BY_USER = Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+
+def by_customer():
+    return Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+
+
+def by_user():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 @query("orders", sql="""SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER p AS rk, dense_rank() OVER p AS dr FROM orders
     WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), p AS (PARTITION BY o_orderstatus, o_custkey ORDER BY o_orderpriority)""")
 def win_rank_family(orders):
     p = Window.partitionBy("o_orderstatus", "o_custkey").orderBy("o_orderpriority")
-    return orders.select("o_orderkey", Q.row_number().over(BY_CUSTOMER).alias("rn"), Q.rank().over(p).alias("rk"), Q.dense_rank().over(p).alias("dr"))
+    return orders.select("o_orderkey", Q.row_number().over(by_customer()).alias("rn"), Q.rank().over(p).alias("rk"), Q.dense_rank().over(p).alias("dr"))
 
 
 @query("customer", sql="SELECT c_custkey, ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS quarter FROM customer")
@@ -24,25 +30,25 @@ def win_ntile(customer):
 
 @query("events", sql="""SELECT event_id, lag(event_type) OVER w AS before, lead(value, 2, -1.0) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def win_lag_lead_default(events):
-    return events.select("event_id", Q.lag("event_type").over(BY_USER).alias("before"), Q.lead("value", 2, -1.0).over(BY_USER).alias("after"))
+    return events.select("event_id", Q.lag("event_type").over(by_user()).alias("before"), Q.lead("value", 2, -1.0).over(by_user()).alias("after"))
 
 
 @query("orders", sql="""SELECT o_orderkey, first_value(o_orderkey) OVER w AS f, last_value(o_orderkey) OVER w AS l, nth_value(o_orderkey, 2) OVER w AS n FROM orders
     WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def win_first_last_nth(orders):
-    w = Q.whole(BY_CUSTOMER)
+    w = Q.whole(by_customer())
     return orders.select("o_orderkey", Q.first_value("o_orderkey").over(w).alias("f"), Q.last_value("o_orderkey").over(w).alias("l"), Q.nth_value("o_orderkey", 2).over(w).alias("n"))
 
 
 @query("orders", sql="""SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders""")
 def win_running_sum(orders):
-    w = BY_CUSTOMER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = by_customer().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return orders.select("o_orderkey", F.round(Q.sum("o_totalprice").over(w), 2).alias("running"))
 
 
 @query("events", sql="""SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 5) AS smooth FROM events""")
 def win_sliding_rows(events):
-    return events.select("event_id", F.round(F.avg("value").over(BY_USER.rowsBetween(-2, 2)), 5).alias("smooth"))
+    return events.select("event_id", F.round(F.avg("value").over(by_user().rowsBetween(-2, 2)), 5).alias("smooth"))
 
 
 @query("part", sql="SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM part")
@@ -84,14 +90,14 @@ def ts_mom_delta(orders):
 
 @query("events", sql="""SELECT event_id, coalesce(date_diff('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) > 86400, false) AS gap FROM events""")
 def ts_gap_flags(events):
-    wait = F.timestamp_diff("SECOND", F.date_trunc("second", F.lag("ts").over(BY_USER)), F.date_trunc("second", F.col("ts")))
+    wait = F.timestamp_diff("SECOND", F.date_trunc("second", F.lag("ts").over(by_user())), F.date_trunc("second", F.col("ts")))
     return events.select("event_id", F.coalesce(wait > 86400, F.lit(False)).alias("gap"))
 
 
 @query("events", sql="""SELECT user_id, max(s)::BIGINT AS sessions, count(*) AS events FROM (SELECT user_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM
     (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= ts - INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events)) GROUP BY user_id""")
 def ts_sessionize_30m(events):
-    fresh = F.when(F.lag("ts").over(BY_USER) >= F.col("ts") - F.expr("INTERVAL 30 MINUTES"), 0).otherwise(1)
+    fresh = F.when(F.lag("ts").over(by_user()) >= F.col("ts") - F.expr("INTERVAL 30 MINUTES"), 0).otherwise(1)
     flagged = events.withColumn("f", fresh)
     return flagged.groupBy("user_id").agg(F.sum("f").alias("sessions"), F.count(F.lit(1)).alias("events"))
 
