@@ -196,6 +196,16 @@ def _lit(value: object) -> Column:
 # Casts, conditionals and null handling
 
 
+def eq(value: Column | str, other: object) -> Column:
+    """Equality; with None it asks for null."""
+    return _col(value).isNull() if other is None else _col(value) == _lit(other)
+
+
+def ne(value: Column | str, other: object) -> Column:
+    """Inequality; with None it asks for anything but null."""
+    return _col(value).isNotNull() if other is None else _col(value) != _lit(other)
+
+
 def cast(value: Column | str, data_type: object) -> Column:
     return _col(value).cast(data_type)
 

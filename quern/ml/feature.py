@@ -29,15 +29,54 @@ class VectorAssembler(Transformer):
         return _Assembler(inputCols=list(filled), outputCol=self.outputCol, handleInvalid="keep").transform(df.withColumns(filled)).drop(*filled)
 
 
-class _Expression(Model):
-    """A model that adds one column."""
+class _ColumnModel(Model):
+    """A model that adds one column, an expression of its parameters."""
 
-    def __init__(self, outputCol: str, column: Column, **state) -> None:  # noqa: N803
-        super().__init__(outputCol=outputCol, **state)
-        self._column = column
+    def _column(self) -> Column:
+        raise NotImplementedError
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(self.outputCol, self._column)
+        return df.withColumn(self.outputCol, self._column())
+
+
+class ScalerModel(_ColumnModel):
+    """(x - shift) / scale; 0 if scale is 0."""
+
+    def __init__(self, inputCol: str, outputCol: str, shift: float, scale: float) -> None:  # noqa: N803
+        super().__init__(**given(locals()))
+
+    def _column(self) -> Column:
+        x = F.col(self.inputCol)
+        return (x - F.lit(float(self.shift))) / F.lit(float(self.scale)) if self.scale else F.when(x.isNotNull(), 0.0)
+
+
+class OneHotEncoderModel(_ColumnModel):
+    def __init__(self, inputCol: str, outputCol: str, size: int) -> None:  # noqa: N803
+        super().__init__(**given(locals()))
+
+    def _column(self) -> Column:
+        if not self.size:
+            return F.array().cast("array<int>")
+        return F.transform(F.sequence(F.lit(0), F.lit(self.size - 1)), lambda i: F.when(F.col(self.inputCol) == i, 1).otherwise(0))
+
+
+class ImputerModel(_ColumnModel):
+    def __init__(self, inputCol: str, outputCol: str, replacement: float) -> None:  # noqa: N803
+        super().__init__(**given(locals()))
+
+    def _column(self) -> Column:
+        return F.coalesce(F.col(self.inputCol), F.lit(self.replacement))
+
+
+class QuantileDiscretizerModel(_ColumnModel):
+    def __init__(self, inputCol: str, outputCol: str, boundaries: list[float]) -> None:  # noqa: N803
+        super().__init__(**given(locals()))
+
+    def _column(self) -> Column:
+        out = F.lit(len(self.boundaries))
+        for i, cut in reversed(list(enumerate(self.boundaries))):
+            out = F.when(F.col(self.inputCol) < cut, i).otherwise(out)
+        return out
 
 
 class StringIndexerModel(Model):
@@ -87,8 +126,7 @@ class OneHotEncoder(Estimator):
         if not isinstance(df.schema[self.inputCol].dataType, NumericType):
             raise ValueError("OneHotEncoder takes a numeric index column")
         size = max(0, df.agg(F.count_distinct(self.inputCol)).first()[0] - bool(self.dropLast))
-        hot = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(F.col(self.inputCol) == i, 1).otherwise(0)) if size else F.array().cast("array<int>")
-        return _Expression(self.outputCol, hot, inputCol=self.inputCol, size=size)
+        return OneHotEncoderModel(self.inputCol, self.outputCol, size)
 
 
 class StandardScaler(Estimator):
@@ -99,9 +137,7 @@ class StandardScaler(Estimator):
 
     def _fit(self, df: DataFrame) -> Model:
         mean, std = df.agg(F.avg(self.inputCol), F.stddev(self.inputCol)).first()
-        shift, scale = (mean or 0.0) if self.withMean else 0.0, (std or 0.0) if self.withStd else 1.0
-        centred = F.col(self.inputCol) - F.lit(float(shift))
-        return _Expression(self.outputCol, centred / F.lit(float(scale)) if scale else F.when(F.col(self.inputCol).isNotNull(), 0.0), mean=mean, std=std)
+        return ScalerModel(self.inputCol, self.outputCol, (mean or 0.0) if self.withMean else 0.0, (std or 0.0) if self.withStd else 1.0)
 
 
 class MinMaxScaler(Estimator):
@@ -112,9 +148,7 @@ class MinMaxScaler(Estimator):
 
     def _fit(self, df: DataFrame) -> Model:
         low, high = df.agg(F.min(self.inputCol), F.max(self.inputCol)).first()
-        spread = float(high) - float(low) if high is not None else 0.0
-        scaled = (F.col(self.inputCol) - F.lit(float(low or 0.0))) / F.lit(spread) if spread else F.when(F.col(self.inputCol).isNotNull(), 0.0)
-        return _Expression(self.outputCol, scaled, min=low, max=high)
+        return ScalerModel(self.inputCol, self.outputCol, float(low or 0.0), float(high) - float(low) if high is not None else 0.0)
 
 
 class MaxAbsScaler(Estimator):
@@ -125,8 +159,7 @@ class MaxAbsScaler(Estimator):
 
     def _fit(self, df: DataFrame) -> Model:
         most = df.agg(F.max(F.abs(self.inputCol))).first()[0]
-        scaled = F.col(self.inputCol) / F.lit(float(most)) if most else F.when(F.col(self.inputCol).isNotNull(), 0.0)
-        return _Expression(self.outputCol, scaled, maxAbs=most)
+        return ScalerModel(self.inputCol, self.outputCol, 0.0, float(most or 0.0))
 
 
 class Imputer(Estimator):
@@ -142,8 +175,7 @@ class Imputer(Estimator):
             row = df.where(F.col(self.inputCol).isNotNull()).groupBy(self.inputCol).count().orderBy(F.desc("count"), self.inputCol).select(self.inputCol).first()
         else:
             row = df.agg(F.avg(self.inputCol) if self.strategy == "mean" else F.percentile(self.inputCol, 0.5)).first()
-        value = float(row[0]) if row and row[0] is not None else 0.0
-        return _Expression(self.outputCol, F.coalesce(F.col(self.inputCol), F.lit(value)), replacement=value)
+        return ImputerModel(self.inputCol, self.outputCol, float(row[0]) if row and row[0] is not None else 0.0)
 
 
 class Binarizer(Transformer):
@@ -165,10 +197,7 @@ class QuantileDiscretizer(Estimator):
     def _fit(self, df: DataFrame) -> Model:
         shares = [i / self.numBuckets for i in range(1, self.numBuckets)]
         cuts = (df.agg(F.percentile(self.inputCol, shares)).first()[0] if shares else None) or []
-        out = F.lit(len(cuts))
-        for i, cut in reversed(list(enumerate(cuts))):
-            out = F.when(F.col(self.inputCol) < cut, i).otherwise(out)
-        return _Expression(self.outputCol, out, boundaries=cuts)
+        return QuantileDiscretizerModel(self.inputCol, self.outputCol, list(cuts))
 
 
 class SQLTransformer(Transformer):

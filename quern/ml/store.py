@@ -10,11 +10,27 @@ from pyspark.sql import functions as F
 
 from quern.ml.base import Model
 from quern.ml.classification import LogisticRegressionModel
-from quern.ml.feature import StringIndexerModel
+from quern.ml.feature import (
+    Binarizer,
+    ImputerModel,
+    IndexToString,
+    OneHotEncoderModel,
+    QuantileDiscretizerModel,
+    ScalerModel,
+    SQLTransformer,
+    StringIndexerModel,
+    VectorAssembler,
+)
 from quern.ml.pipeline import PipelineModel
 from quern.ml.regression import LinearRegressionModel
 
-KINDS = {k.__name__: k for k in (LinearRegressionModel, LogisticRegressionModel, StringIndexerModel)}
+KINDS = {
+    k.__name__: k
+    for k in (
+        LinearRegressionModel, LogisticRegressionModel, StringIndexerModel, ScalerModel, ImputerModel, OneHotEncoderModel,
+        QuantileDiscretizerModel, Binarizer, IndexToString, SQLTransformer, VectorAssembler,
+    )
+}
 SCHEMA = "model_id string, name string, kind string, state string, saved_at timestamp"
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quern import functions as Q
+from quern.operators.rdds import Rdd
 from quern.plans.base import query
 from quern.session import Session
 
@@ -81,7 +82,7 @@ def catalog_tables(region):
     session, name = session_of(region), f"seen_{uuid.uuid4().hex[:8]}"
     region.createOrReplaceTempView(name)
     found = (session.catalog.tableExists(name), session.catalog.tableExists(f"{name}_other"))
-    return region.limit(1).select(F.lit(found[0]).alias("found"), F.lit(found[1]).alias("other"))
+    return session.spark.range(1).select(F.lit(found[0]).alias("found"), F.lit(found[1]).alias("other"))
 
 
 @query("nation", sql="SELECT n_nationkey, n_nationkey * 10 + length(n_name) AS code FROM nation")
@@ -105,9 +106,8 @@ def udf_pandas(part):
 
 @query("nation", sql="SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, sum(n_nationkey)::BIGINT AS total FROM nation GROUP BY n_regionkey")
 def rdd_roundtrip(nation):
-    context = session_of(nation).sparkContext
-    pairs = context.parallelize([(r["n_regionkey"], r["n_nationkey"]) for r in nation.take(100)])
-    return pairs.map(lambda x: (x[0], x[1])).reduceByKey(lambda a, b: a + b).toDF(["n_regionkey", "total"])
+    pairs = Rdd(nation.df.rdd, nation.df.sparkSession).map(lambda r: (r["n_regionkey"], r["n_nationkey"]))
+    return pairs.reduceByKey(lambda a, b: a + b).toDF(["n_regionkey", "total"])
 
 
 @query("region", sql="SELECT 'Q' AS s")

@@ -57,7 +57,7 @@ def ml_quantile_buckets(orders):
 @query("lineitem", sql="SELECT round(regr_slope(l_extendedprice, l_quantity), 5) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem")
 def ml_linear_fit(lineitem):
     model = ml.LinearRegression(["l_quantity"], "l_extendedprice").fit(lineitem)
-    return lineitem.limit(1).select(F.round(F.lit(model.coefficients[0]), 5).alias("slope"), F.round(F.lit(model.intercept), 4).alias("intercept"))
+    return lineitem.df.sparkSession.range(1).select(F.round(F.lit(model.coefficients[0]), 5).alias("slope"), F.round(F.lit(model.intercept), 4).alias("intercept"))
 
 
 @query("lineitem", sql="""WITH p AS (SELECT l_extendedprice AS y, regr_slope(l_extendedprice, l_quantity) OVER () * l_quantity + regr_intercept(l_extendedprice, l_quantity) OVER () AS p FROM lineitem)
@@ -92,8 +92,8 @@ def ml_logistic(labels, documents):
 @query("embeddings")
 def ml_knn_vote(embeddings):
     points = embeddings.select("vec_id", "label", *(F.get("embedding", F.lit(i)).alias(f"x{i}") for i in range(8)))
-    model = ml.KNeighborsClassifier([f"x{i}" for i in range(8)], "label", k=5).fit(points.where("vec_id % 2 = 0"))
-    return model.transform(points.where("vec_id % 2 = 1")).select("vec_id", "label", "prediction")
+    model = ml.KNeighborsClassifier([f"x{i}" for i in range(8)], "label", k=5).fit(points)
+    return model.transform(points).select("vec_id", "label", "prediction")
 
 
 @query("part")

@@ -6,6 +6,11 @@ from quern import functions as Q
 from quern.plans.base import query
 
 
+def one_row(frame):
+    """A frame of one row, for functions of constants."""
+    return frame.df.sparkSession.range(1)
+
+
 def r(column, digits=9):
     return F.round(column, digits)
 
@@ -92,7 +97,7 @@ def str_hash(customer):
 
 @query("region", sql="SELECT * FROM (VALUES ('Robert', 'R163', 'Robert', 2125754577), ('', '', '', 0)) t(s, code, cap, crc)")
 def str_soundex_initcap(region):
-    rows = region.limit(1).select(F.explode(F.array(F.lit("Robert"), F.lit(""))).alias("s"))
+    rows = one_row(region).select(F.explode(F.array(F.lit("Robert"), F.lit(""))).alias("s"))
     return rows.select("s", Q.soundex("s").alias("code"), Q.initcap("s").alias("cap"), Q.crc32(F.col("s").cast("binary")).alias("crc"))
 
 
@@ -140,7 +145,7 @@ def dt_diff(orders):
 @query("region", sql="SELECT * FROM (VALUES ('2024-03-31', '2024-02-29', 1.0, 1), ('2024-02-29', '2024-01-31', 1.0, 0), ('2024-05-15', '2024-01-01', 4.4516129, 4)) t(b, a, months, whole)")
 def dt_months_between(region):
     pairs = F.array(*(F.struct(F.lit(b).alias("b"), F.lit(a).alias("a")) for b, a in (("2024-03-31", "2024-02-29"), ("2024-02-29", "2024-01-31"), ("2024-05-15", "2024-01-01"))))
-    rows = region.limit(1).select(F.explode(pairs).alias("p")).select("p.*")
+    rows = one_row(region).select(F.explode(pairs).alias("p")).select("p.*")
     return rows.select("b", "a", F.round(Q.months_between("b", "a"), 7).alias("months"), Q.timestampdiff("MONTH", F.to_date("a"), F.to_date("b")).cast("int").alias("whole"))
 
 
@@ -167,7 +172,7 @@ def dt_next_last_day(orders):
 def dt_timezone(region):
     ts, shown = F.lit("2024-07-01 00:00:00").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"
     cells = {"tokyo": Q.from_utc_timestamp(ts, "Asia/Tokyo"), "new_york": Q.from_utc_timestamp(ts, "America/New_York"), "back": Q.to_utc_timestamp(ts, "America/New_York")}
-    return region.limit(1).select(*(F.date_format(c, shown).alias(n) for n, c in cells.items()))
+    return one_row(region).select(*(F.date_format(c, shown).alias(n) for n, c in cells.items()))
 
 
 @query("events", sql="""SELECT event_id, coalesce(k, 'none') AS a, coalesce(k, 'x') AS b, CASE WHEN k IS NOT NULL THEN 'set' ELSE 'unset' END AS c, k IS NULL AS d FROM (SELECT event_id, nullif(event_type, 'view') AS k FROM events)""")

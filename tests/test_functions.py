@@ -52,6 +52,7 @@ def test_distinct_and_extremes(spark):
 
 
 def test_strings(spark):
+    assert one(spark, Q.eq(F.lit(None).cast("int"), None)) and one(spark, Q.ne(F.lit(1), None)) and not one(spark, Q.eq(F.lit(1), 2))
     assert one(spark, Q.elt(2, F.lit("a"), F.lit("b"))) == "b" and one(spark, Q.elt(5, F.lit("a"))) is None and one(spark, Q.elt(0, F.lit("a"))) is None
     assert one(spark, Q.charindex("l", F.lit("hello"), 4)) == 4 and one(spark, Q.charindex("z", F.lit("hello"))) == 0
     with pytest.raises(ValueError):

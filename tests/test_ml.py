@@ -113,7 +113,10 @@ def test_pipeline_store(session, line, tmp_path):
     with pytest.raises(KeyError):
         store.load(key)
     with pytest.raises(ValueError):
-        store.save(ml.Binarizer("x", "o"), "b")
+        store.save(ml.RandomForestRegressor(["x"], "y", numTrees=2).fit(line), "forest")
+    scaled = ml.Pipeline([ml.StandardScaler("x", "z"), ml.QuantileDiscretizer(3, "z", "q"), ml.OneHotEncoder("q", "h"), ml.Binarizer("z", "b")]).fit(line)
+    again = store.load(store.save(scaled, "features"))
+    assert again.transform(line).collect() == scaled.transform(line).collect()
 
 
 def test_params():
