@@ -5,7 +5,8 @@ are merged by n-gram and joined, shard by shard, with the counts of their
 contexts and the probabilities of their lower orders.  Text is mapped to 64
 symbols, so the finished table has at most 64**4 entries whatever the corpus,
 and every document is scored in place.  A document is rejected if its
-perplexity exceeds a high quantile of trusted text in its language.
+perplexity exceeds a high quantile of trusted text in its language, taken over
+trusted documents that the model hasn't seen.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ QUANTILE = 0.99
 #: A text's mean is drawn to its language's mean as if by so many symbols.
 PRIOR_SYMBOLS = 40
 #: The threshold lies so many bits a symbol above the quantile.
-MARGIN_BITS = 0.15
+MARGIN_BITS = 0.3
+#: One trusted document in so many is kept from the model and sets the threshold.
+CALIBRATION = 4
 #: Scores are compared as whole numbers of this many a bit.
 STEPS = 1000
 BUFFER_CHARS = 1 << 18
@@ -206,11 +209,12 @@ def _fit(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     Languages are as many as the language column names: a table to broadcast.
     """
     ids = trusted_ids(labels, id_col)
-    text = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(ids.hint("shuffle_hash"), "id", "left_semi").select("text")
+    held = F.pmod(F.xxhash64("id"), F.lit(CALIBRATION)) == 0
+    text = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(ids.where(~held).hint("shuffle_hash"), "id", "left_semi").select("text")
     model = train(text)
     scored = checkpoint(score(documents.withColumn("__language", F.coalesce(F.col(lang_col), F.lit(""))), model, text_col))
     means = scored.groupBy("__language").agg((F.sum("__bits") / F.greatest(F.sum("__symbols"), F.lit(1))).alias("__mean"))
-    flags = ids.select(F.col("id").alias("__id"))
+    flags = ids.where(held).select(F.col("id").alias("__id"))
     trusted = _rated(scored, means).where("__symbols > 0").join(flags, F.col(id_col) == F.col("__id"), "left_semi")
     limits = thresholds(trusted.select(F.col("__language").alias("language"), F.col("__score").alias("score"), F.lit(True).alias("trusted")), quantile)
     limits = limits.select(F.col("language").alias("__language"), (F.col("limit") + MARGIN_BITS * STEPS).alias("__limit"))
