@@ -56,18 +56,19 @@ def safe_id(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
 
-def indexed(df: DataFrame, group: str, order: list[str], out: str, rows_per_bucket: int = 20_000) -> DataFrame:
+def indexed(df: DataFrame, group: str, order: list[str], out: str, rows_per_bucket: int = 8_192) -> DataFrame:
     """Number the rows of each group from 0, gapless, in the order of ``order``.
 
     ``order[0]`` is a long spread evenly over its range (a hash).  Its top bits
-    deal each group over buckets that one task sorts; offsets of the buckets
-    come from a table of counts.  No task holds more than a bucket, however
-    large a group is.  ``group`` isn't null.
+    deal each group over as many buckets as its size needs; a task sorts a
+    bucket, and offsets of the buckets come from a table of counts.  No task
+    holds more than a bucket, however large a group is.  Groups aren't null and
+    are few enough (a hundred thousand) for a broadcast table of their sizes.
     """
-    bits = max(0, (df.count() // rows_per_bucket).bit_length())
+    sizes = df.groupBy(group).agg(F.ceil(F.log2(F.greatest(F.count(F.lit(1)) / rows_per_bucket, F.lit(1.0)))).cast("int").alias("__bits"))
     sign_free = F.col(order[0]).bitwiseXOR(F.lit(-(2**63)))
-    bucket = F.shiftrightunsigned(sign_free, 64 - bits) if bits else F.lit(0).cast("long")
-    dealt = df.withColumn("__bucket", bucket)
+    dealt = df.join(F.broadcast(sizes), group).withColumn("__top", sign_free)
+    dealt = dealt.withColumn("__bucket", F.when(F.col("__bits") == 0, F.lit(0)).otherwise(F.expr("shiftrightunsigned(__top, 64 - __bits)"))).drop("__top", "__bits")
     before = Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         dealt.groupBy(group, "__bucket")

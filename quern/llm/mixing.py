@@ -22,6 +22,8 @@ BLOCK_ROWS = 8
 PERIOD = 1024
 #: Weights in proportion to the rows of a source to this power.
 TEMPERATURE = 0.5
+#: Rows, with their texts, that a task sorts at a time.
+ROWS_PER_BUCKET = 2_048
 #: A mix of more sources is refused: its weights belong in fewer groups.
 MAX_SOURCES = 100_000
 
@@ -98,7 +100,7 @@ def mix(documents: DataFrame, weights: Mapping[str | None, float] | None = None,
     text = {} if text_col is None else text_keys(F.col(text_col))
     keyed = documents.withColumn("__hash", F.xxhash64(F.lit(seed), safe_id(id_col), *text.values()))
     coded = keyed.join(F.broadcast(named), F.col(source_col).cast("string").eqNullSafe(F.col("__source"))).drop("__source")
-    numbered = indexed(coded, "__code", ["__hash", id_col], "__nth")
+    numbered = indexed(coded, "__code", ["__hash", id_col], "__nth", ROWS_PER_BUCKET)
     blocks = numbered.withColumns({"block": F.floor(F.col("__nth") / block_rows), "place": (F.col("__nth") % block_rows).cast("int")})
     blocks = blocks.withColumn("__k", F.pmod("block", F.col("__n").cast("long")).cast("int"))
     slotted = blocks.join(F.broadcast(table.drop("__n")), ["__code", "__k"]).withColumn("slot", F.floor(F.col("block") / F.col("__n")) * period + F.col("__base"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quern.llm import chat, decontaminate, jaccard, lines, mixing, passages, quality, sharding, topk, urls
 from quern.llm.common import table
 
+_DUCK_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
@@ -15,6 +17,19 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+OP1_SQL = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, {_DUCK_WORDS} AS w FROM documents),
+gram AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g FROM doc, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS t(i) WHERE len(w) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM gram a JOIN gram b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM pair JOIN size p ON x = p.doc_id JOIN size q ON y = q.doc_id WHERE 10 * c >= 8 * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, link.y FROM reach r JOIN link ON r.y = link.x)
+SELECT d.doc_id, c.class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links
+FROM documents d JOIN (SELECT x, min(y) AS class_id FROM reach GROUP BY x) c ON c.x = d.doc_id
+LEFT JOIN (SELECT x, count(*) AS n FROM link GROUP BY x) l ON l.x = d.doc_id
+"""
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rated.select("doc_id", "lang", F.round("perplexity", 4).alias("perplexity"), F.round("limit", 4).alias("limit"), "accepted")
@@ -56,8 +71,6 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_DUCK_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-
 OP4_SQL = f"""
 WITH item AS (SELECT item_id, {_DUCK_WORDS} AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
@@ -159,4 +172,4 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_passages": op10_passages,
 }
-ORACLES = {"op3_line_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op7_top_k": OP7_SQL, "op8_url_filter": OP8_SQL}
+ORACLES = {"op1_jaccard_join": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op7_top_k": OP7_SQL, "op8_url_filter": OP8_SQL}
