@@ -319,8 +319,8 @@ class Frame:
         return self._next(statistics.summarize(self._df, self._df.columns, stats or ("count", "mean", "stddev", "min", "25%", "50%", "75%", "max")), "summary")
 
     def approxQuantile(self, col: str, probabilities: Sequence[float], relativeError: float = 0.0) -> list[float]:  # noqa: N802, N803
-        """Exact interpolated quantiles."""
-        return self._df.select(F.percentile(col, [float(p) for p in probabilities])).first()[0]
+        """Exact interpolated quantiles, whatever the size of the column."""
+        return statistics.exact_quantiles(self._df, col, [float(p) for p in probabilities])
 
     # Names, views, output
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from quern.ml.base import Estimator, Model, Transformer, features_of, given
+from quern.operators.statistics import exact_quantiles
 
 #: Up to so many labels are looked up in an expression; more are joined.
 EXPRESSION_LABELS = 64
@@ -174,7 +175,7 @@ class Imputer(Estimator):
         if self.strategy == "mode":
             row = df.where(F.col(self.inputCol).isNotNull()).groupBy(self.inputCol).count().orderBy(F.desc("count"), self.inputCol).select(self.inputCol).first()
         else:
-            row = df.agg(F.avg(self.inputCol) if self.strategy == "mean" else F.percentile(self.inputCol, 0.5)).first()
+            row = df.agg(F.avg(self.inputCol)).first() if self.strategy == "mean" else exact_quantiles(df, self.inputCol, [0.5])
         return ImputerModel(self.inputCol, self.outputCol, float(row[0]) if row and row[0] is not None else 0.0)
 
 
@@ -196,8 +197,8 @@ class QuantileDiscretizer(Estimator):
 
     def _fit(self, df: DataFrame) -> Model:
         shares = [i / self.numBuckets for i in range(1, self.numBuckets)]
-        cuts = (df.agg(F.percentile(self.inputCol, shares)).first()[0] if shares else None) or []
-        return QuantileDiscretizerModel(self.inputCol, self.outputCol, list(cuts))
+        cuts = [c for c in exact_quantiles(df, self.inputCol, shares) if c is not None]
+        return QuantileDiscretizerModel(self.inputCol, self.outputCol, cuts)
 
 
 class SQLTransformer(Transformer):

@@ -122,6 +122,23 @@ def test_statistics(session, vendas):
     assert session.createDataFrame([(1.0, None)], "x double, y double").stat.corr("x", "y") is None
 
 
+def test_exact_quantiles(spark, monkeypatch):
+    import numpy as np
+
+    from quern.operators import statistics
+
+    monkeypatch.setattr(statistics, "FEW", 5)
+    monkeypatch.setattr(statistics, "BINS", 16)
+    rng = np.random.default_rng(4)
+    for values in (rng.normal(size=500), np.repeat([1.0, 2.0, 7.0], 40), np.exp(8 * rng.normal(size=200)), np.array([3.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "x double")
+        shares = [0.0, 0.1, 0.5, 0.77, 1.0]
+        assert np.allclose(statistics.exact_quantiles(df, "x", shares), np.quantile(values, shares))
+    assert statistics.exact_quantiles(df.where("x is null"), "x", [0.5]) == [None]
+    with pytest.raises(ValueError):
+        statistics.exact_quantiles(df, "x", [2])
+
+
 def test_lineage_plan_and_export(vendas):
     frame = vendas.filter("id > 1").select("id")
     assert [s["op"] for s in frame.lineage()][-2:] == ["filter", "select"]
