@@ -95,7 +95,7 @@ def str_hash(customer):
     return customer.select("c_custkey", Q.md5("c_name").alias("m"), Q.sha1("c_name").alias("s1"), Q.sha2("c_name", 256).alias("s2"))
 
 
-@query("region", sql="SELECT * FROM (VALUES ('Robert', 'R163', 'Robert', 2125754577), ('', '', '', 0)) t(s, code, cap, crc)")
+@query("region", sql="SELECT * FROM (VALUES ('Robert', 'R163', 'Robert', 2125754577::BIGINT), ('', '', '', 0)) t(s, code, cap, crc)")
 def str_soundex_initcap(region):
     rows = one_row(region).select(F.explode(F.array(F.lit("Robert"), F.lit(""))).alias("s"))
     return rows.select("s", Q.soundex("s").alias("code"), Q.initcap("s").alias("cap"), Q.crc32(F.col("s").cast("binary")).alias("crc"))
@@ -142,7 +142,7 @@ def dt_diff(orders):
     return kept.select("o_orderkey", Q.datediff(d, to).cast("bigint").alias("d"), Q.timestampdiff("WEEK", d, to).cast("bigint").alias("w"))
 
 
-@query("region", sql="SELECT * FROM (VALUES ('2024-03-31', '2024-02-29', 1.0, 1), ('2024-02-29', '2024-01-31', 1.0, 0), ('2024-05-15', '2024-01-01', 4.4516129, 4)) t(b, a, months, whole)")
+@query("region", sql="SELECT * FROM (VALUES ('2024-03-31', '2024-02-29', 1.0::DOUBLE, 1), ('2024-02-29', '2024-01-31', 1.0, 0), ('2024-05-15', '2024-01-01', 4.4516129, 4)) t(b, a, months, whole)")
 def dt_months_between(region):
     pairs = F.array(*(F.struct(F.lit(b).alias("b"), F.lit(a).alias("a")) for b, a in (("2024-03-31", "2024-02-29"), ("2024-02-29", "2024-01-31"), ("2024-05-15", "2024-01-01"))))
     rows = one_row(region).select(F.explode(pairs).alias("p")).select("p.*")

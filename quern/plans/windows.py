@@ -16,14 +16,14 @@ def by_user():
     return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
-@query("orders", sql="""SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER p AS rk, dense_rank() OVER p AS dr FROM orders
+@query("orders", sql="""SELECT o_orderkey, (row_number() OVER w)::INTEGER AS rn, (rank() OVER p)::INTEGER AS rk, (dense_rank() OVER p)::INTEGER AS dr FROM orders
     WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), p AS (PARTITION BY o_orderstatus, o_custkey ORDER BY o_orderpriority)""")
 def win_rank_family(orders):
     p = Window.partitionBy("o_orderstatus", "o_custkey").orderBy("o_orderpriority")
     return orders.select("o_orderkey", Q.row_number().over(by_customer()).alias("rn"), Q.rank().over(p).alias("rk"), Q.dense_rank().over(p).alias("dr"))
 
 
-@query("customer", sql="SELECT c_custkey, ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS quarter FROM customer")
+@query("customer", sql="SELECT c_custkey, (ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey))::INTEGER AS quarter FROM customer")
 def win_ntile(customer):
     return customer.select("c_custkey", Q.ntile(4).over(Window.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")).alias("quarter"))
 
