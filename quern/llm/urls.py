@@ -54,11 +54,30 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
 
 def verdict_of(rule: Column, rules: Sequence[tuple[str, str]]) -> Column:
     out = F.lit(None).cast("string")
-    for verdict, name in rules:
+    for verdict, name in sorted(rules, reverse=True):  # of a rule given both ways, allow holds
         out = F.when(rule == name, F.lit(verdict)).otherwise(out)
     return out
 
 
+def with_rules(df: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame) -> DataFrame:
+    """``df`` (host, path) with the rule that fits and its verdict, ``own``.
+
+    A sequence of rules becomes one expression.  A table of rules (verdict,
+    rule) is joined on the suffixes of the distinct hosts, so it may be as
+    large as a blocklist is.
+    """
+    if not isinstance(rules, DataFrame):
+        ruled = df.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+        return ruled.withColumn("own", verdict_of(F.col("rule"), rules))
+    at = F.substring_index("rule", "/", 1)
+    table = rules.select(at.alias("at"), F.expr("substring(rule, length(substring_index(rule, '/', 1)) + 1)").alias("under"), "rule", F.col("verdict").alias("own"))
+    labels = F.split("host", "[.]")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    spots = df.select("host", "path").distinct().withColumn("at", F.explode(suffixes)).join(table, "at").where(F.startswith("path", "under"))
+    best = spots.groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("n"), "rule", "own")).alias("best"))
+    return df.join(best, ["host", "path"], "left").withColumns({"rule": F.col("best.rule"), "own": F.col("best.own")}).drop("best")
+
+
 def html_links(html: Column, url: Column, host: Column) -> Column:
     """Absolute targets of the canonical link and the meta refresh of a page."""
     found = F.array(
@@ -69,24 +88,22 @@ def html_links(html: Column, url: Column, host: Column) -> Column:
     return F.filter(whole, lambda x: x.contains("://"))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], redirects: DataFrame | None = None, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame, redirects: DataFrame | None = None, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:
     """One row per page row: id, url, host, path, rule, alias, verdict.
 
-    ``rules``: ('allow' or 'block', 'host/path prefix').  ``redirects`` has
-    columns ``source`` and ``target``.  A page with a rule keeps that rule's
+    ``rules``: ('allow' or 'block', 'host/path prefix'), or a table of such
+    with columns ``verdict`` and ``rule``.  ``redirects`` has columns ``source`` and ``target``.  A page with a rule keeps that rule's
     verdict.  Null urls have an empty host, no alias and are allowed; repeated
     pages each keep their row; a null html has no links.
     """
     host, path, query = split_url(F.col("url"))
     base = pages.select(F.col(id_col), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    base = base.withColumns({"host": host, "path": path, "alias": alias_key(host, path, query)}).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    base = base.withColumn("own", verdict_of(F.col("rule"), rules))
+    base = with_rules(base.withColumns({"host": host, "path": path, "alias": alias_key(host, path, query)}), rules)
     links = base.where(F.col("alias").isNotNull()).select(F.col("alias").alias("a"), F.explode(html_links(F.col("html"), F.col("url"), F.col("host"))).alias("url"))
     if redirects is not None:
         h, p, q = split_url(F.col("source"))
         links = links.unionByName(redirects.select(alias_key(h, p, q).alias("a"), F.col("target").alias("url")))
-    ends = links.withColumns({"host": host, "path": path, "b": alias_key(host, path, query)})
-    ends = ends.withColumn("own", verdict_of(rule_of(F.col("host"), F.col("path"), rules), rules))
+    ends = with_rules(links.withColumns({"host": host, "path": path, "b": alias_key(host, path, query)}), rules)
     roots = components(ends.select("a", "b"))
     nodes = base.select("alias", "own").unionByName(ends.select(F.col("b").alias("alias"), "own")).where("alias is not null and own is not null")
     said = nodes.groupBy("alias").agg(F.bool_or(F.col("own") == "allow").alias("allowed"))

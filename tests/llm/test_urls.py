@@ -22,6 +22,16 @@ def test_rules(spark):
     assert seen[9]["host"] == "" and seen[10]["rule"] == "org/" and (seen[11]["host"], seen[11]["path"]) == ("h.net", "") and seen[12]["verdict"] == "allow"
 
 
+def test_a_table_of_rules_gives_the_same(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    more = [(1000, "http://A.example.org/en/1", canonical("http://b.com/de/")), (1001, None, None), (1002, "nothing", ""), (1003, "http://org/", ""), (1004, "http://.org/x", "")]
+    pages = pages.union(spark.createDataFrame(more, pages.schema))
+    rules = (*RULES, ("block", "org/"), ("block", "example.net"), ("allow", "net/en"))
+    table = spark.createDataFrame(rules, "verdict string, rule string")
+    a, b = (sorted(map(tuple, urls.judge(pages, r).fillna("~").collect()), key=str) for r in (rules, table))
+    assert a == b and any(r[4] == "example.net" for r in a)
+
+
 def canonical(target):
     return f'<html><LINK href="{target}" rel="canonical"></html>'
 
