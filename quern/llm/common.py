@@ -34,6 +34,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, most: int, rows: int | None = None) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``most`` rows, else as it is.
+
+    The rows are counted unless the caller knows a bound on them.
+    """
+    rows = df.limit(most + 1).count() if rows is None else rows
+    return F.broadcast(df) if rows <= most else df
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

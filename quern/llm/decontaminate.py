@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import safe_id, text_keys, words
+from quern.llm.common import safe_id, sized, text_keys, words
 
 WINDOW = 10
 PROBE = 5
@@ -22,10 +22,6 @@ PROBE = 5
 BROADCAST_ROWS = 1_000_000
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item_id, n, w): each distinct window of n words of each item."""
     w = F.col("__w")
@@ -67,7 +63,7 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, text_col: str = "text"
             .distinct()
         )
         scanned = tokens.select("did", "k1", "k2", F.explode(_grams(F.col("w"), size, n - size + 1)).alias("g")).select("did", "k1", "k2", "g.at", "g.gram")
-        at = scanned.join(_sized(probes, rows * (n - size + 1)), "gram", "left_semi").select("did", "k1", "k2", F.struct(F.lit(n).alias("n"), "at").alias("p"))
+        at = scanned.join(sized(probes, BROADCAST_ROWS, rows * (n - size + 1)), "gram", "left_semi").select("did", "k1", "k2", F.struct(F.lit(n).alias("n"), "at").alias("p"))
         found = at if found is None else found.unionByName(at)
     if found is None:
         return docs.where(F.lit(False)).select("k1", "k2", F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"))).alias("hits"), F.array(F.lit("")).alias("items"))
@@ -88,7 +84,7 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, text_col: str = "text"
     )
     kinds = windows.select("n", "w").distinct()
     total = sum(r["rows"] for r in shapes)
-    real = whole.join(_sized(kinds, total), ["n", "w"], "left_semi").distinct()
+    real = whole.join(sized(kinds, BROADCAST_ROWS, total), ["n", "w"], "left_semi").distinct()
     hits = real.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("hits"))
     items = (
         real.select("k1", "k2", "n", "w")

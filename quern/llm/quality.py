@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from quern.llm.common import checkpoint
+from quern.llm.common import checkpoint, sized
 
 ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
@@ -34,6 +34,8 @@ CALIBRATION = 4
 #: Scores are compared as whole numbers of this many a bit.
 STEPS = 1000
 BUFFER_CHARS = 1 << 18
+#: Means and limits of so many languages are broadcast; of more, joined by shuffle.
+BROADCAST_LANGUAGES = 10_000
 
 #: Symbols of punctuation; 1-26 are a-z.
 MARKS = {27: "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 28: "0123456789", 29: " \t", 30: "\n\r", 31: ".", 32: ",", 33: "'\"`", 34: "-", 35: ":;", 36: "!", 37: "?", 38: "()[]{}<>", 39: "|", 40: "/\\", 41: "*#$%&@^~+=_"}
@@ -200,24 +202,21 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
 def _rated(scored: DataFrame, means: DataFrame) -> DataFrame:
     """Adds __mean and __score (whole steps of bits a symbol)."""
     drawn = (F.col("__bits") + PRIOR_SYMBOLS * F.col("__mean")) / (F.col("__symbols") + PRIOR_SYMBOLS)
-    return scored.join(F.broadcast(means), "__language").withColumn("__score", F.ceil(drawn * STEPS).cast("long"))
+    return scored.join(sized(means, BROADCAST_LANGUAGES), "__language").withColumn("__score", F.ceil(drawn * STEPS).cast("long"))
 
 
 def _fit(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float):
-    """Model, scores of all documents, and mean and limit of each language.
-
-    Languages are as many as the language column names: a table to broadcast.
-    """
+    """Model, scores of all documents, and mean and limit of each language."""
     ids = trusted_ids(labels, id_col)
     held = F.pmod(F.xxhash64("id"), F.lit(CALIBRATION)) == 0
     text = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(ids.where(~held).hint("shuffle_hash"), "id", "left_semi").select("text")
     model = train(text)
     scored = checkpoint(score(documents.withColumn("__language", F.coalesce(F.col(lang_col), F.lit(""))), model, text_col))
-    means = scored.groupBy("__language").agg((F.sum("__bits") / F.greatest(F.sum("__symbols"), F.lit(1))).alias("__mean"))
+    means = checkpoint(scored.groupBy("__language").agg((F.sum("__bits") / F.greatest(F.sum("__symbols"), F.lit(1))).alias("__mean")))
     flags = ids.where(held).select(F.col("id").alias("__id"))
     trusted = _rated(scored, means).where("__symbols > 0").join(flags, F.col(id_col) == F.col("__id"), "left_semi")
     limits = thresholds(trusted.select(F.col("__language").alias("language"), F.col("__score").alias("score"), F.lit(True).alias("trusted")), quantile)
-    limits = limits.select(F.col("language").alias("__language"), (F.col("limit") + MARGIN_BITS * STEPS).alias("__limit"))
+    limits = checkpoint(limits.select(F.col("language").alias("__language"), (F.col("limit") + MARGIN_BITS * STEPS).alias("__limit")))
     return model, scored, means, limits
 
 
@@ -235,7 +234,7 @@ def classify(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     _, scored, means, limits = _fit(documents, labels, id_col, text_col, lang_col, quantile)
     return (
         _rated(scored, means)
-        .join(F.broadcast(limits), "__language", "left")
+        .join(sized(limits, BROADCAST_LANGUAGES), "__language", "left")
         .withColumn("perplexity", F.when(F.col("__symbols") > 0, F.pow(F.lit(2.0), F.col("__bits") / F.greatest("__symbols", F.lit(1)))))
         .withColumn("score", F.pow(F.lit(2.0), F.col("__score") / STEPS))
         .withColumn("limit", F.pow(F.lit(2.0), F.col("__limit") / STEPS))
@@ -255,4 +254,4 @@ def accepted_documents(documents: DataFrame, labels: DataFrame, id_col: str = "d
     """
     model, _, means, limits = _fit(documents, labels, id_col, text_col, lang_col, quantile)
     scored = score(documents.withColumn("__language", F.coalesce(F.col(lang_col), F.lit(""))), model, text_col, keep_text=True)
-    return _rated(scored, means).join(F.broadcast(limits), "__language", "left").where(_accepted()).select(*documents.columns)
+    return _rated(scored, means).join(sized(limits, BROADCAST_LANGUAGES), "__language", "left").where(_accepted()).select(*documents.columns)
