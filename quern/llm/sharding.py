@@ -2,8 +2,8 @@
 
 Each level splits every node along its widest dimension (range against the
 range of the whole table) where the bytes to the left match the leaves to the
-left.  Medians come from histograms that narrow around the target; a table of
-at most leaves x bins rows is all that reaches the driver.  A 32-bit hash below
+left.  Medians come from histograms that narrow around the target, which are
+all that reaches the driver.  A 32-bit hash below
 each coordinate splits rows of equal metadata.
 """
 
@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import checkpoint, indexed, safe_id, text_keys
 
-BINS = 256
+#: Histogram rows that reach the driver at a time, and bins of one node at least and at most.
+HISTOGRAM_ROWS, FEWEST_BINS, MOST_BINS = 1 << 17, 64, 8_192
 #: A median is near enough if the leaf sizes it decides are off by this share at most.
-TOLERANCE = 0.0005
+TOLERANCE = 0.001
 #: Levels after which the metadata table is written anew.
 LEVELS_KEPT = 6
 
@@ -67,7 +68,8 @@ def _medians(rows: DataFrame, wanted: dict[int, tuple], dims: int) -> dict[int,
     open_: dict[int, tuple] = {node: (d, lo, hi, left, 0, slack) for node, (d, lo, hi, left, slack) in wanted.items()}
     spark = rows.sparkSession
     while open_:
-        params = [(node, d, lo, hi, max(1, -(-(hi - lo + 1) // BINS))) for node, (d, lo, hi, *_) in open_.items()]
+        count = min(max(HISTOGRAM_ROWS // len(open_), FEWEST_BINS), MOST_BINS)
+        params = [(node, d, lo, hi, max(1, -(-(hi - lo + 1) // count))) for node, (d, lo, hi, *_) in open_.items()]
         table = spark.createDataFrame(params, "__node int, __dim int, __lo long, __hi long, __width long")
         keyed = rows.join(F.broadcast(table), "__node").withColumn("__key", _key(dims)).where("__key between __lo and __hi")
         bins = keyed.groupBy("__node", F.expr("(__key - __lo) div __width").alias("bin")).agg(F.sum("__size").alias("w"), F.min("__key").alias("lo"), F.max("__key").alias("hi")).collect()
