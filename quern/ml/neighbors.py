@@ -35,15 +35,16 @@ class KNeighborsModel(Model):
         def near(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
             if q.empty or t.empty:
                 return pd.DataFrame({"x": [], "y": [], "d": []})
-            a, b = np.stack(q["x"].to_numpy()), np.stack(t["x"].to_numpy())
+            a, b, y = np.stack(q["x"].to_numpy()), np.stack(t["x"].to_numpy()), t["y"].to_numpy()
             out = []
             for i in range(0, len(a), 256):
                 gap = np.zeros((min(256, len(a) - i), len(b)))
                 for j in range(a.shape[1]):
                     gap += (a[i : i + 256, j, None] - b[None, :, j]) ** 2
                 for row, line in enumerate(gap, i):
-                    best = np.lexsort((t["y"].to_numpy(), line))[:k]
-                    out += [(a[row].tolist(), float(t["y"].iloc[m]), float(line[m])) for m in best]
+                    close = np.flatnonzero(line <= np.partition(line, k - 1)[k - 1]) if len(line) > k else np.arange(len(line))
+                    best = close[np.lexsort((y[close], line[close]))[:k]]
+                    out += [(a[row].tolist(), float(y[m]), float(line[m])) for m in best]
             return pd.DataFrame(out, columns=["x", "y", "d"])
 
         found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(near, "x array<double>, y double, d double")
