@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import decontaminate, jaccard, mixing, quality, sharding
-from quern.llm.common import shared_folder, table
+from quern.llm.common import remove, shared_folder, table
 
 SHARD_BYTES = 64 << 20
 
@@ -48,12 +48,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of a folder.
+
+    What a stage wrote is deleted once the next one's output is written; the
+    last written one stays, since the result is read from it.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs.write.parquet(path := f"{folder}/{i}-{name}")
             docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return docs

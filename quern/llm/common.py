@@ -34,6 +34,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the session's file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def sized(df: DataFrame, most: int, rows: int | None = None) -> DataFrame:
     """``df`` to be broadcast if it has at most ``most`` rows, else as it is.
 
