@@ -1,5 +1,6 @@
 """Plain versions of the operators, over lists of rows."""
 
+import random
 import re
 from collections import defaultdict
 
@@ -7,6 +8,12 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def phrase(seed, n=120):
+    """n made-up words."""
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
 def words(text):
     return WORD.findall((text or "").translate(LOWER))
 

@@ -1,16 +1,10 @@
 import pytest
+from brute import phrase
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 FOLDER = "/root/testdata/sf0.001"
 
 
-def phrase(seed, n=120):
-    import random
-
-    rng = random.Random(seed)
-    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Nulls in every column, empty, mark-only and very long texts, copies, near copies and repeated rows."""

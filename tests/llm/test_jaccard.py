@@ -30,9 +30,7 @@ def test_odd_rows(odd_docs):
 
 
 def test_large_groups_are_verified_in_blocks(spark, monkeypatch):
-    from conftest import phrase
-
-    base = phrase(9, 80).split()
+    base = brute.phrase(9, 80).split()
     texts = []
     for i in range(60):
         w = list(base)

@@ -1,3 +1,4 @@
+import os
 import sys
 
 import brute
@@ -63,7 +64,7 @@ def test_entry_has_every_query():
 
 
 def test_queries_equal_their_sql(spark):
-    sys.path.insert(0, "tests")
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     from oracle import assert_same, connect
 
     from quern.llm.queries import ORACLES, QUERIES
