@@ -6,14 +6,18 @@ as Parquet and read again as the next one's docs.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, jaccard, mixing, quality, sharding
 from quern.llm.common import remove, shared_folder, table
 
 SHARD_BYTES = 64 << 20
+#: Key of the mix in the metadata of ``source``.
+MIX = "mix"
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,18 +36,35 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order that holds the sources to their target weights."""
-    return mixing.mixed_order(docs)
+    """Documents in the order that holds the sources to their target weights.
+
+    Files don't keep an order when they are read again, so the weights go with
+    the column ``source`` as metadata; the order follows from them.
+    """
+    weights = mixing.source_weights(docs)
+    decided = {MIX: json.dumps(list(weights.items()))}
+    return mixing.mixed_order(docs, weights=weights).withColumn("source", F.col("source").alias("source", metadata=decided))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard of about SHARD_BYTES."""
-    return sharding.shard(docs, target_bytes=SHARD_BYTES)
+    """Documents with their shard of about SHARD_BYTES.
+
+    Shards of mixed documents are ranges of the mixed order, so each prefix of
+    shards holds the weights; rows come in that order.  Documents that weren't
+    mixed are sharded by their metadata.
+    """
+    decided = docs.schema["source"].metadata.get(MIX)
+    if decided is None:
+        return sharding.shard(docs, target_bytes=SHARD_BYTES)
+    mixed = mixing.mix(docs, weights={s: w for s, w in json.loads(decided)})
+    placed = sharding.shard(mixed, target_bytes=SHARD_BYTES, dimensions={"slot": sharding.number(F.col("slot"))})
+    return placed.orderBy("slot", "place").select(*docs.columns, "shard")
 
 
 STAGES = [("quality", keep_good), ("near_duplicates", keep_distinct), ("decontaminate", keep_clean), ("mix", mix_sources), ("shard", shard)]
 
-#: Perplexity, MinHash classes and the mixed order have no SQL: tests hold run() against brute force.
+#: Perplexity, MinHash classes and the mixed order have no SQL: tests hold run() against brute
+#: force, and mix and shard against the weights and the order.
 ORACLE_SQL = None
 
 

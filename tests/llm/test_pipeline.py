@@ -1,5 +1,6 @@
 import os
 import sys
+from collections import Counter
 
 import brute
 import pytest
@@ -77,3 +78,38 @@ def test_queries_equal_their_sql(spark):
 def test_operators_are_used():
     assert corpus_pipeline.jaccard is jaccard and corpus_pipeline.mixing is mixing and corpus_pipeline.decontaminate is decontaminate
     assert F is not None
+
+
+def test_mix_decides_shards_and_their_order(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(corpus_pipeline, "SHARD_BYTES", 20_000)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    corpus_pipeline.mix_sources(spark, docs, FOLDER).repartition(5).write.parquet(str(tmp_path / "mix"))  # no order of files is left
+    rows = corpus_pipeline.shard(spark, spark.read.parquet(str(tmp_path / "mix")), FOLDER).collect()
+    counts = Counter(r["source"] for r in docs.collect())
+    parts, period = mixing.whole_parts({s: n**mixing.TEMPERATURE for s, n in counts.items()})
+    order, left = mixing.schedule(parts, period), dict(counts)
+    wanted, slots, whole, slot = [], [], None, 0
+    while any(left.values()):
+        s = order[slot % period]
+        n = min(mixing.BLOCK_ROWS, left[s])
+        whole = len(wanted) if whole is None and n < mixing.BLOCK_ROWS else whole
+        left[s] -= n
+        wanted += [s] * n
+        slots += [slot] * n
+        slot += 1
+    assert [r["source"] for r in rows] == wanted and {r["doc_id"]: r["text"] for r in rows} == {r["doc_id"]: r["text"] for r in docs.collect()}
+    shards = [r["shard"] for r in rows]
+    assert shards[-1] >= 4
+    ends = {}
+    for r, n in zip(rows, slots, strict=True):
+        low, high = ends.get(r["shard"], (n, n))
+        ends[r["shard"]] = (min(low, n), max(high, n))
+    spans = [ends[k] for k in sorted(ends)]
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))  # two shards share the slot of the cut at most
+    for last in set(shards):
+        prefix = Counter(r["source"] for r in rows if r["shard"] <= last)
+        total = sum(prefix.values())
+        if total <= whole:
+            assert all(abs(prefix[s] - total * n / period) <= 2 * mixing.BLOCK_ROWS for s, n in parts.items())
+    plain = {r["doc_id"]: r["shard"] for r in corpus_pipeline.shard(spark, docs, FOLDER).collect()}
+    assert plain != {r["doc_id"]: r["shard"] for r in rows}  # without the mix the shards are others
