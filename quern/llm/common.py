@@ -13,6 +13,10 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for a null id in join keys; the largest id, so that any other is less.
 NULL_ID = 2**63 - 1
+#: Groups or overfull buckets of ``indexed`` that are broadcast; more are joined by shuffle.
+BROADCAST_GROUPS = 100_000
+#: A bucket of so many times its rows is dealt once more.
+OVERFULL = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names for checkpoints; a folder of this
-    process's own is set only where none is, as in tests."""
+    process's own is set only where none is and Spark runs in this process, as
+    in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise ValueError("a cluster needs spark.checkpoint.dir: a folder that all its machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
@@ -76,25 +84,37 @@ def indexed(df: DataFrame, group: str, order: list[str], out: str, rows_per_buck
 
     ``order[0]`` is a long spread evenly over its range (a hash).  Its top bits
     deal each group over as many buckets as its size needs; a task sorts a
-    bucket, and offsets of the buckets come from a table of counts.  No task
-    holds more than a bucket, however large a group is.  Groups aren't null and
-    are few enough (a hundred thousand) for a broadcast table of their sizes.
+    bucket, and offsets of the buckets come from a table of counts.  A bucket
+    that repeated rows overfill is dealt once more by the place of its rows in
+    ``df``, so no task holds more than a few buckets, however large a group or
+    however often repeated a row is.  Groups aren't null.  ``df`` is read more
+    than once and has to give its rows in the same order: a table or a checkpoint.
     """
     sizes = df.groupBy(group).agg(F.ceil(F.log2(F.greatest(F.count(F.lit(1)) / rows_per_bucket, F.lit(1.0)))).cast("int").alias("__bits"))
     sign_free = F.col(order[0]).bitwiseXOR(F.lit(-(2**63)))
-    dealt = df.join(F.broadcast(sizes), group).withColumn("__top", sign_free)
+    placed = df.withColumn("__place", F.monotonically_increasing_id())
+    dealt = placed.join(sized(sizes, BROADCAST_GROUPS), group).withColumn("__top", sign_free)
     dealt = dealt.withColumn("__bucket", F.when(F.col("__bits") == 0, F.lit(0)).otherwise(F.expr("shiftrightunsigned(__top, 64 - __bits)"))).drop("__top", "__bits")
-    before = Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [group, "__bucket", "__part"]
+    over = dealt.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OVERFULL * rows_per_bucket)
+    found = over.limit(BROADCAST_GROUPS + 1).count()
+    if found:
+        parts = sized(over.select(group, "__bucket", F.ceil(F.col("n") / rows_per_bucket).alias("__parts")), BROADCAST_GROUPS, found)
+        dealt = dealt.join(parts, [group, "__bucket"], "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64("__place"), F.col("__parts")), F.lit(0))).drop("__parts")
+    else:
+        dealt = dealt.withColumn("__part", F.lit(0).cast("long"))
+    dealt = dealt.drop("__place")
+    before = Window.partitionBy(group).orderBy("__bucket", "__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        dealt.groupBy(group, "__bucket")
+        dealt.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
         .drop("__n")
     )
-    inside = Window.partitionBy(group, "__bucket").orderBy(*order)
+    inside = Window.partitionBy(*keys).orderBy(*order)
     return (
         dealt.withColumn("__row", F.row_number().over(inside))
-        .join(offsets, [group, "__bucket"])
+        .join(offsets, keys)
         .withColumn(out, (F.col("__offset") + F.col("__row") - 1).cast("long"))
-        .drop("__bucket", "__row", "__offset")
+        .drop("__bucket", "__part", "__row", "__offset")
     )

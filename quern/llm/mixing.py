@@ -1,117 +1,180 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Documents of a source are dealt into blocks of ``block_rows``.  Block j of a
-source of weight w is released at slot floor((j - 1) / w) and due at
-ceil(j / w); in every slot the released block with the earliest deadline goes
-next.  With weights in whole parts of ``period`` slots the schedule repeats
-every ``period`` slots, so one period is worked out on the driver and every
-row computes its slot from it, however many rows there are.
+Documents of a source are dealt into blocks of ``block_rows``.  In the fluid
+mix every source is served at the rate of its weight until it runs out; then
+the others share its rate by their weights.  Block j of a source is released at
+the slot in which the fluid mix begins it and due when the fluid mix has ended
+it (floor((j - 1) / w) and ceil(j / w) until the first source runs out).  In
+every slot the released block with the earliest deadline goes next, so each
+source is always less than one block from its fluid share.
+
+Windows are closed forms of exact fractions, so spans of slots are scheduled
+apart from each other: a task starts where the oldest block that is open at its
+span was released.  Every block that is pending there is due before the span
+begins; therefore it counts, but which source it belongs to changes nothing in
+the span, and the task finds exactly what one run over all slots would.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from bisect import bisect_left
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from quern.llm.common import indexed, safe_id, text_keys
+from quern.llm.common import BROADCAST_GROUPS, indexed, safe_id, sized, text_keys
 
 BLOCK_ROWS = 8
-PERIOD = 1024
 #: Weights in proportion to the rows of a source to this power.
 TEMPERATURE = 0.5
 #: Rows, with their texts, that a task sorts at a time.
 ROWS_PER_BUCKET = 2_048
-#: A mix of more sources is refused: its weights belong in fewer groups.
-MAX_SOURCES = 100_000
-
-
-def whole_parts(weights: Mapping[str | None, float], period: int = PERIOD) -> tuple[dict[str | None, int], int]:
-    """Weights as whole parts of a period, by largest remainder, each at least 1."""
-    if not weights:
-        return {}, period
-    if any(not w > 0 for w in weights.values()):
-        raise ValueError("weights must be positive")
-    period = max(period, 4 * len(weights))
-    total = sum(weights.values())
-    names = sorted(weights, key=lambda s: (s is None, s or ""))
-    free = period - len(names)
-    exact = {s: 1 + free * weights[s] / total for s in names}
-    parts = {s: int(exact[s]) for s in names}
-    for s in sorted(names, key=lambda s: parts[s] - exact[s])[: period - sum(parts.values())]:
-        parts[s] += 1
-    return parts, period
-
-
-def schedule(parts: Mapping[str | None, int], period: int) -> list[str | None]:
-    """The source of each slot of one period: earliest deadline first among released blocks."""
-    names = sorted(parts, key=lambda s: (s is None, s or ""))
-    released: list[list[tuple[int, int, int]]] = [[] for _ in range(period)]
-    for i, s in enumerate(names):
-        n = parts[s]
-        for j in range(1, n + 1):
-            released[(j - 1) * period // n].append((-(-j * period // n), i, j))
-    ready: list[tuple[int, int, int]] = []
-    order: list[str | None] = []
-    for slot in range(period):
-        for block in released[slot]:
+#: Slots that a task schedules, if no block is open for longer.
+SLOTS_PER_TASK = 1 << 15
+#: A schedule of at most so many blocks (16 bytes each) is broadcast; a longer one is joined by shuffle.
+BROADCAST_BLOCKS = 1 << 20
+
+
+class Fluid:
+    """The fluid mix of sources with a weight and a number of blocks each.
+
+    At virtual time v a source of weight w and n blocks has had min(n, w * v)
+    blocks, and the slot is the sum of that over all sources.
+    """
+
+    def __init__(self, weights: list[float | Fraction], blocks: list[int]) -> None:
+        if any(not w > 0 for w in weights):
+            raise ValueError("weights must be positive")
+        exact = [Fraction(w) for w in weights]
+        scale = lcm(*(w.denominator for w in exact)) if exact else 1
+        self.weights, self.blocks = [int(w * scale) for w in exact], blocks
+        by_end = sorted((s for s, n in enumerate(blocks) if n), key=lambda s: Fraction(blocks[s], self.weights[s]))
+        self.ends = [Fraction(blocks[s], self.weights[s]) for s in by_end]
+        self.gone, self.rate = [0], [sum(self.weights[s] for s in by_end)]
+        for s in by_end:
+            self.gone.append(self.gone[-1] + blocks[s])
+            self.rate.append(self.rate[-1] - self.weights[s])
+        self.end_slots = [g + v * r for g, v, r in zip(self.gone, self.ends, self.rate, strict=False)]
+        self.slots = sum(blocks)
+
+    def bounds(self, source: int, block: int) -> tuple[int, int]:
+        """Release of block ``block`` + 1 and deadline of block ``block`` (from 1)."""
+        w = self.weights[source]
+        k = bisect_left(self.ends, Fraction(block, w))
+        served = block * self.rate[k]
+        return self.gone[k] + served // w, self.gone[k] - (-served // w)
+
+    def served(self, slot: int) -> list[Fraction]:
+        """Blocks of each source that the fluid mix has served before ``slot``."""
+        k = bisect_left(self.end_slots, slot)
+        if k == len(self.ends):
+            return [Fraction(n) for n in self.blocks]
+        v = Fraction(slot - self.gone[k], self.rate[k])
+        return [min(Fraction(n), w * v) for w, n in zip(self.weights, self.blocks, strict=True)]
+
+    def on_target(self) -> int:
+        """Slots until the first source runs out."""
+        return int(self.end_slots[0]) if self.ends else 0
+
+    def longest(self) -> int:
+        """No block is open for more slots: rates per source only grow."""
+        return max((self.bounds(s, 1)[1] for s, n in enumerate(self.blocks) if n), default=1)
+
+
+def schedule(fluid: Fluid, first: int, last: int) -> list[tuple[int, int, int]]:
+    """(source, block from 0, slot) of the slots from ``first`` to before ``last``."""
+    last = min(last, fluid.slots)
+    if first >= last:
+        return []
+    at = fluid.served(first)
+    start = min((fluid.bounds(s, int(f))[0] for s, f in enumerate(at) if f.denominator > 1), default=first)
+    begun = fluid.served(start) if start < first else at
+    open_ = [(fluid.bounds(s, int(f) + 1)[1], s, int(f) + 1) for s, f in enumerate(begun) if f.denominator > 1]
+    pending = sum(-int(-f // 1) for f in begun) - start
+    ready = sorted(open_)[len(open_) - pending :]
+    released: list[list[tuple[int, int, int]]] = [[] for _ in range(last - start)]
+    for s, f in enumerate(begun):
+        j = -int(-f // 1) + 1
+        if j > fluid.blocks[s]:
+            continue
+        release = fluid.bounds(s, j - 1)[0]
+        while release < last:
+            following, deadline = fluid.bounds(s, j)
+            released[release - start].append((deadline, s, j))
+            j, release = j + 1, following
+            if j > fluid.blocks[s]:
+                break
+    out = []
+    for slot in range(start, last):
+        for block in released[slot - start]:
             heapq.heappush(ready, block)
-        order.append(names[heapq.heappop(ready)[1]])
-    return order
+        _, s, j = heapq.heappop(ready)
+        if slot >= first:
+            out.append((s, j - 1, slot))
+    return out
 
 
-def source_weights(documents: DataFrame, source_col: str = "source", temperature: float = TEMPERATURE) -> dict[str | None, float]:
+def source_weights(documents: DataFrame, source_col: str = "source", temperature: float = TEMPERATURE) -> dict:
     """Rows of each source to the power of ``temperature``."""
-    counts = documents.groupBy(source_col).count().limit(MAX_SOURCES + 1).collect()
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"a mix takes at most {MAX_SOURCES} sources")
-    return {r[0]: r["count"] ** temperature for r in counts}
+    return {s: n**temperature for s, n in _counts(documents, source_col).items()}
+
+
+def _counts(documents: DataFrame, source_col: str) -> dict:
+    return {r[0]: r["count"] for r in documents.groupBy(source_col).count().collect()}  # one row a source
 
 
-def mix(documents: DataFrame, weights: Mapping[str | None, float] | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str | None = "text", block_rows: int = BLOCK_ROWS, period: int = PERIOD, seed: int = 0) -> DataFrame:
+def mix(documents: DataFrame, weights: Mapping | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str | None = "text", block_rows: int = BLOCK_ROWS, slots_per_task: int = SLOTS_PER_TASK, seed: int = 0) -> DataFrame:
     """``documents`` with block, slot, place and on_target.
 
-    ``slot`` orders the blocks, ``place`` the rows of a block.  Every prefix of
-    slots up to the first block that a source can no longer give holds each
-    source to its weight within less than one block; rows up to there have
-    ``on_target``.  Later slots keep the order and leave out what has run out:
-    no row is dropped or repeated.  A null source is a source; sources without
-    a weight are an error; inside a source, order is by a seeded hash of id and
-    text, so repeated rows lie side by side.  Columns of ``documents`` named
-    like the results are replaced.
+    ``slot`` (gapless from 0) orders the blocks, ``place`` the rows of a block.
+    Every prefix of slots up to the end of the first source holds each source
+    to its weight within less than one block; rows up to there have
+    ``on_target``.  Later slots hold the sources that are left to their weights
+    among each other; no row is dropped or repeated, and the last block of a
+    source may be short.  Weights are exact: those given, or of the rows to the
+    power of TEMPERATURE.  A null source is a source of its own; a weight
+    without rows is ignored, a source without a weight an error; sources may be
+    of any type that can be grouped.  Inside a source, order is by a seeded hash
+    of id and text (null and empty texts differ), so repeated rows lie side by
+    side.  An empty table gives an empty table.  Columns of ``documents`` named
+    like the results are replaced.  One row a source reaches the driver and
+    each task that schedules.
     """
     documents = documents.drop("block", "slot", "place", "on_target")
-    found = {r[0] for r in documents.select(source_col).distinct().limit(MAX_SOURCES + 1).collect()} if weights is not None else set()
-    weights = source_weights(documents, source_col) if weights is None else weights
-    if missing := found - set(weights):
-        raise ValueError(f"no weight for source {sorted(map(str, missing))[0]}")
-    parts, period = whole_parts(weights, period)
-    codes = {s: i for i, s in enumerate(parts)}
     spark = documents.sparkSession
-    nth: dict[str | None, int] = dict.fromkeys(parts, 0)
-    rows = []
-    for slot, s in enumerate(schedule(parts, period) if parts else []):
-        rows.append((codes[s], nth[s], slot, parts[s]))
-        nth[s] += 1
-    table = spark.createDataFrame(rows, "__code int, __k int, __base long, __n int")  # as many rows as the period has slots
-    named = spark.createDataFrame([(s, codes[s], parts[s]) for s in parts], "__source string, __code int, __n int")
+    counts = _counts(documents, source_col)
+    weights = {s: n**TEMPERATURE for s, n in counts.items()} if weights is None else weights
+    if missing := [s for s in counts if s not in weights]:
+        raise ValueError(f"no weight for source {missing[0]}")
+    names = sorted(counts, key=lambda s: (s is None, "" if s is None else str(s)))
+    fluid = Fluid([weights[s] for s in names], [-(-counts[s] // block_rows) for s in names])
+    span = max(slots_per_task, fluid.longest())
+    tasks = -(-fluid.slots // span)
+
+    def stage(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for task in part.column(0).to_pylist():
+                rows = schedule(fluid, task * span, (task + 1) * span)
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2))], names=["__code", "block", "slot"])
+
+    slots = spark.range(0, tasks, 1, max(1, tasks)).mapInArrow(stage, "__code int, block long, slot long")
+    field = StructField("__source", documents.schema[source_col].dataType)
+    named = spark.createDataFrame([(s, i) for i, s in enumerate(names)], StructType([field, StructField("__code", IntegerType())]))
     text = {} if text_col is None else text_keys(F.col(text_col))
     keyed = documents.withColumn("__hash", F.xxhash64(F.lit(seed), safe_id(id_col), *text.values()))
-    coded = keyed.join(F.broadcast(named), F.col(source_col).cast("string").eqNullSafe(F.col("__source"))).drop("__source")
-    numbered = indexed(coded, "__code", ["__hash", id_col], "__nth", ROWS_PER_BUCKET)
-    blocks = numbered.withColumns({"block": F.floor(F.col("__nth") / block_rows), "place": (F.col("__nth") % block_rows).cast("int")})
-    blocks = blocks.withColumn("__k", F.pmod("block", F.col("__n").cast("long")).cast("int"))
-    slotted = blocks.join(F.broadcast(table.drop("__n")), ["__code", "__k"]).withColumn("slot", F.floor(F.col("block") / F.col("__n")) * period + F.col("__base"))
-    counts = {codes[r[0]]: r["count"] for r in documents.groupBy(source_col).count().collect()}
-    base = {(c, k): slot for c, k, slot, _ in rows}
-    ends = [(-(-n // block_rows), c) for c, n in counts.items()]
-    size = {codes[s]: parts[s] for s in parts}
-    end = min((b // size[c] * period + base[(c, b % size[c])] for b, c in ends), default=0)
-    return slotted.withColumn("on_target", F.col("slot") < end).select(*documents.columns, "block", "slot", "place", "on_target")
+    coded = keyed.join(sized(named, BROADCAST_GROUPS, len(names)), F.col(source_col).eqNullSafe(F.col("__source"))).drop("__source")
+    numbered = indexed(coded, "__code", ["__hash"], "__nth", ROWS_PER_BUCKET)
+    blocks = numbered.withColumns({"block": F.expr(f"__nth div {block_rows}"), "place": (F.col("__nth") % block_rows).cast("int")})
+    slotted = blocks.join(sized(slots, BROADCAST_BLOCKS, fluid.slots), ["__code", "block"])
+    return slotted.withColumn("on_target", F.col("slot") < fluid.on_target()).select(*documents.columns, "block", "slot", "place", "on_target")
 
 
 def mixed_order(documents: DataFrame, **options) -> DataFrame:
-    """``documents`` sorted into their mixed order."""
+    """``documents`` sorted into their mixed order; rows as in ``mix``."""
     return mix(documents, **options).orderBy("slot", "place").select(*documents.columns)

@@ -5,6 +5,7 @@ from collections import Counter
 import brute
 import pytest
 from pyspark.sql import functions as F
+from test_mixing import brute_schedule
 
 import corpus_pipeline
 from quern.llm import decontaminate, jaccard, mixing, quality
@@ -86,17 +87,15 @@ def test_mix_decides_shards_and_their_order(spark, monkeypatch, tmp_path):
     corpus_pipeline.mix_sources(spark, docs, FOLDER).repartition(5).write.parquet(str(tmp_path / "mix"))  # no order of files is left
     rows = corpus_pipeline.shard(spark, spark.read.parquet(str(tmp_path / "mix")), FOLDER).collect()
     counts = Counter(r["source"] for r in docs.collect())
-    parts, period = mixing.whole_parts({s: n**mixing.TEMPERATURE for s, n in counts.items()})
-    order, left = mixing.schedule(parts, period), dict(counts)
-    wanted, slots, whole, slot = [], [], None, 0
-    while any(left.values()):
-        s = order[slot % period]
-        n = min(mixing.BLOCK_ROWS, left[s])
-        whole = len(wanted) if whole is None and n < mixing.BLOCK_ROWS else whole
-        left[s] -= n
-        wanted += [s] * n
+    names = sorted(counts)
+    shares = [counts[s] ** mixing.TEMPERATURE for s in names]
+    order = brute_schedule(shares, [-(-counts[s] // mixing.BLOCK_ROWS) for s in names])
+    wanted, slots = [], []
+    for s, j, slot in order:
+        n = min(mixing.BLOCK_ROWS, counts[names[s]] - j * mixing.BLOCK_ROWS)
+        wanted += [names[s]] * n
         slots += [slot] * n
-        slot += 1
+    whole = mixing.BLOCK_ROWS * mixing.Fluid(shares, [-(-counts[s] // mixing.BLOCK_ROWS) for s in names]).on_target()
     assert [r["source"] for r in rows] == wanted and {r["doc_id"]: r["text"] for r in rows} == {r["doc_id"]: r["text"] for r in docs.collect()}
     shards = [r["shard"] for r in rows]
     assert shards[-1] >= 4
@@ -110,6 +109,6 @@ def test_mix_decides_shards_and_their_order(spark, monkeypatch, tmp_path):
         prefix = Counter(r["source"] for r in rows if r["shard"] <= last)
         total = sum(prefix.values())
         if total <= whole:
-            assert all(abs(prefix[s] - total * n / period) <= 2 * mixing.BLOCK_ROWS for s, n in parts.items())
+            assert all(abs(prefix[s] - total * w / sum(shares)) <= 2 * mixing.BLOCK_ROWS for s, w in zip(names, shares, strict=True))
     plain = {r["doc_id"]: r["shard"] for r in corpus_pipeline.shard(spark, docs, FOLDER).collect()}
     assert plain != {r["doc_id"]: r["shard"] for r in rows}  # without the mix the shards are others
