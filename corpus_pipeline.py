@@ -57,7 +57,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if decided is None:
         return sharding.shard(docs, target_bytes=SHARD_BYTES)
     mixed = mixing.mix(docs, weights={s: w for s, w in json.loads(decided)})
-    placed = sharding.shard(mixed, target_bytes=SHARD_BYTES, dimensions={"slot": sharding.number(F.col("slot"))})
+    slot = sharding.number(F.col("slot"), max(sharding.COORDINATES - 1, docs.count()))
+    placed = sharding.shard(mixed, target_bytes=SHARD_BYTES, dimensions={"slot": slot})
     return placed.orderBy("slot", "place").select(*docs.columns, "shard")
 
 
