@@ -1,183 +1,357 @@
-"""Quality classifier: interpolated modified Kneser-Ney over character 4-grams.
-
-Trusted text (labelled good and not toxic) is counted where it lies; counts
-are merged by n-gram and joined, shard by shard, with the counts of their
-contexts and the probabilities of their lower orders.  Text is mapped to 64
-symbols, so the finished table has at most 64**4 entries whatever the corpus,
-and every document is scored in place.  A document is rejected if its
-perplexity exceeds a high quantile of trusted text in its language, taken over
-trusted documents that the model hasn't seen.
+"""Quality classifier: interpolated modified Kneser-Ney over character 5-grams.
+
+Trusted text (labelled good and not toxic) is counted where it lies; symbols
+are code points, none is folded.  Counts are merged by n-gram, and each order's
+contexts by context, so the model is a set of sharded tables that grow with
+the text.  To score documents, each task asks for the distinct 5-grams of its
+texts; requests are joined with the counts of every order by n-gram and by
+context, and the costs go back to the task that holds the texts, which are sent
+once, compressed.  No table of n-grams is broadcast or gathered.
+
+The excess of a document is its bits over those of as many symbols of its
+language, by the root of its symbols, which keeps its spread alike at every
+length.  A document is rejected if its excess is above a high quantile of
+trusted documents of its language that the model hasn't seen; put in terms of
+perplexity, short texts have a higher limit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from quern.llm.common import checkpoint, sized
+from quern.llm import textnum
+from quern.llm.common import checkpoint, safe_id, sized, text_keys
 
-ORDER, BITS = 4, 6
-SYMBOLS = 1 << BITS
+ORDER = 5
+#: The symbol before a text; no code point.
+START = 0x110000
 #: Share of trusted text of a language that the threshold lets pass.
 QUANTILE = 0.99
-#: A text's mean is drawn to its language's mean as if by so many symbols.
-PRIOR_SYMBOLS = 40
-#: The threshold lies so many bits a symbol above the quantile.
-MARGIN_BITS = 0.3
 #: One trusted document in so many is kept from the model and sets the threshold.
-CALIBRATION = 4
-#: Scores are compared as whole numbers of this many a bit.
+CALIBRATION = 2
+#: A language with fewer such documents can't show the quantile itself: it takes
+#: that of all languages, whose excesses are divided by their language's spread.
+FEWEST_HELD = 100
+#: Excesses are compared as whole numbers of this many a bit.
 STEPS = 1000
-BUFFER_CHARS = 1 << 18
-#: Means and limits of so many languages are broadcast; of more, joined by shuffle.
-BROADCAST_LANGUAGES = 10_000
-
-#: Symbols of punctuation; 1-26 are a-z.
-MARKS = {27: "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 28: "0123456789", 29: " \t", 30: "\n\r", 31: ".", 32: ",", 33: "'\"`", 34: "-", 35: ":;", 36: "!", 37: "?", 38: "()[]{}<>", 39: "|", 40: "/\\", 41: "*#$%&@^~+=_"}
-
-
-def _symbol_table() -> np.ndarray:
-    """Symbol of each code unit of the basic plane: Latin letters beyond ASCII
-    take 42-57, other scripts 58-62, control characters 63."""
-    code = np.arange(0x10000)
-    table = np.where(code < 0x250, 42 + code % 16, 58 + (code >> 7) % 5).astype(np.uint8)
-    table[:0x80] = 63
-    table[97:123] = np.arange(1, 27)
-    for symbol, marks in MARKS.items():
-        table[[ord(c) for c in marks]] = symbol
-    return table
-
-
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """4-gram code of each character of the texts and the texts' offsets."""
-    joined = ("\0" * (ORDER - 1)).join(["", *texts])
-    units = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    symbols = _symbol_table()[np.minimum(units, 0xFFFF)].astype(np.int32)
-    symbols[units == 0] = 0
-    code = symbols.copy()
-    for back in range(1, ORDER):
-        code[back:] |= symbols[:-back] << (BITS * back)
-    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    ends = np.cumsum(lengths + ORDER - 1)
-    at = np.ones(len(code), dtype=bool)
-    for back in range(ORDER - 1):
-        at[(ends - lengths - 1 - back)] = False
-    return code[at], np.concatenate(([0], np.cumsum(lengths)))
-
-
-def _batches(texts: list[str | None]) -> Iterator[list[str]]:
+#: Characters that are hashed at a time, and that one request covers at most.
+BUFFER_CHARS, CHUNK_CHARS = 1 << 19, 1 << 26
+#: Bytes of texts that are packed together.
+PACK_BYTES = 4 << 20
+#: Tables of languages, of trusted ids and of rejected documents of at most so many rows are broadcast; larger ones are joined by shuffle.
+BROADCAST_LANGUAGES, BROADCAST_KEYS = 10_000, 1 << 20
+
+U = np.uint64
+_WIDTH = 4 * ORDER
+
+
+def _batches(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(symbols, places to count, index of the text of each place) of at most about BUFFER_CHARS; long texts go in pieces."""
     held, size = [], 0
-    for text in texts:
-        held.append(text or "")
-        size += len(held[-1])
-        if size >= BUFFER_CHARS:
-            yield held
-            held, size = [], 0
+    for i, text in enumerate(texts):
+        for a in range(0, len(text or ""), BUFFER_CHARS):
+            piece = text[a : a + BUFFER_CHARS]
+            held.append((i, text[a - ORDER + 1 : a] if a else "\0" * (ORDER - 1), piece, a == 0))
+            size += len(piece)
+            if size >= BUFFER_CHARS:
+                yield _symbols(held)
+                held, size = [], 0
     if held:
-        yield held
+        yield _symbols(held)
+
+
+def _symbols(pieces: list[tuple[int, str, str, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    units = np.frombuffer("".join(before + piece for _, before, piece, _ in pieces).encode("utf-32-le", "surrogatepass"), dtype="<u4").copy()
+    lengths = np.fromiter((len(p[2]) for p in pieces), dtype=np.int64, count=len(pieces))
+    begins = np.cumsum(lengths + ORDER - 1) - lengths - ORDER + 1
+    fresh = begins[[p[3] for p in pieces]]
+    counted = np.ones(len(units), dtype=bool)
+    for k in range(ORDER - 1):
+        units[fresh + k] = START
+        counted[begins + k] = False
+    return units, np.flatnonzero(counted), np.repeat([p[0] for p in pieces], lengths)
+
+
+def _hashes(units: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the 5-gram that ends at each place."""
+    total = np.zeros(len(at), dtype=U)
+    for back in range(ORDER):
+        total += (units[at - back].astype(U) + U(1)) * U(pow(textnum.GRAM_BASE, back + 1, 1 << 64))
+    return textnum.mix(total)
+
+
+class _Distinct:
+    """Distinct 5-grams by hash, their counts and, if kept, their symbols."""
+
+    def __init__(self, grams: bool = True) -> None:
+        self.grams, self.parts, self.size, self.least = grams, [], 0, 1 << 16
+
+    def add(self, units: np.ndarray, at: np.ndarray) -> None:
+        found, first, times = np.unique(_hashes(units, at), return_index=True, return_counts=True)
+        symbols = units[at[first][:, None] + np.arange(1 - ORDER, 1)] if self.grams else None
+        self.parts.append((found, times, symbols))
+        self.size += len(found)
+        if self.size > 2 * self.least:
+            self.least = max(self.least, len(self.merged()[0]))
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        if not self.parts:
+            return np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64), np.zeros((0, ORDER), dtype="<u4")
+        if len(self.parts) > 1:
+            found, first, which = np.unique(np.concatenate([p[0] for p in self.parts]), return_index=True, return_inverse=True)
+            times = np.bincount(which, np.concatenate([p[1] for p in self.parts])).astype(np.int64)
+            symbols = np.concatenate([p[2] for p in self.parts])[first] if self.grams else None
+            self.parts, self.size = [(found, times, symbols)], len(found)
+        return self.parts[0]
+
+
+def _binary(symbols: np.ndarray) -> pa.Array:
+    flat = np.ascontiguousarray(symbols, dtype="<u4")
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(_WIDTH), len(flat), [None, pa.py_buffer(flat)]).cast(pa.binary())
 
 
 def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the 4-grams of all texts of a task."""
-    total = None
+    """Counts of the 5-grams of the texts of a task."""
+    total = _Distinct()
     for part in parts:
-        for texts in _batches(part.column(0).to_pylist()):
-            if total is None:
-                total = np.zeros(SYMBOLS**ORDER, dtype=np.int32)
-            codes = _grams(texts)[0]
-            found, times = np.unique(codes, return_counts=True)
-            total[found] += times.astype(np.int32)
-    if total is not None:
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found].astype(np.int64))], names=["g", "n"])
-
-
-def _discounts(grams: DataFrame) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more."""
-    row = grams.agg(*(F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5))).first()
-    n = [0, *(float(row[f"n{i}"]) for i in range(1, 5))]
-    if not all(n[1:]):
+        for units, at, _ in _batches(part.column(0).to_pylist()):
+            total.add(units, at)
+    _, times, symbols = total.merged()
+    for a in range(0, len(times), 1 << 18):
+        yield pa.RecordBatch.from_arrays([_binary(symbols[a : a + (1 << 18)]), pa.array(times[a : a + (1 << 18)])], names=["g", "n"])
+
+
+def _suffix(order: int) -> Column:
+    """The last ``order`` symbols of an n-gram of one more."""
+    return F.expr(f"substring(g, 5, {4 * order})")
+
+
+def _discounts(n: list[float]) -> tuple[float, float, float]:
+    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more; ``n``: n-grams with counts 1 to 4."""
+    if not all(n):
         return 0.5, 0.75, 0.9
-    y = n[1] / (n[1] + 2 * n[2])
-    return tuple(min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.01), i - 0.01) for i in (1, 2, 3))
+    y = n[0] / (n[0] + 2 * n[1])
+    return tuple(min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.01), i - 0.01) for i in (1, 2, 3))
+
+
+class Model:
+    """``own``: (order, g, value), what an n-gram has itself; ``rest``: (order, h, value), what a context leaves to the lower order; ``base``: probability of an unknown symbol."""
 
+    def __init__(self, own: DataFrame, rest: DataFrame, base: float) -> None:
+        self.own, self.rest, self.base = own, rest, base
 
-def train(trusted_text: DataFrame) -> dict[int, tuple[np.ndarray, ...]]:
-    """The model of a one-column frame of texts: by order, n-gram codes and
-    their probabilities, context codes and their back-off weights."""
-    grams = checkpoint(trusted_text.mapInArrow(_count, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")))
-    by_order = {ORDER: grams}
+
+def train(trusted_text: DataFrame) -> Model:
+    """The model of a one-column frame of texts."""
+    table = checkpoint(trusted_text.mapInArrow(_count, "g binary, n long").groupBy("g").agg(F.sum("n").alias("n")))
+    counted = table.select(F.lit(ORDER).alias("order"), "g", "n")
+    for order in range(ORDER - 1, 0, -1):
+        table = table.select(_suffix(order).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+        counted = counted.unionByName(table.select(F.lit(order).alias("order"), "g", "n"))
+    counted = checkpoint(counted.withColumn("h", F.expr("substring(g, 1, length(g) - 4)")))
+    cut, symbols = F.lit(None).cast("double"), 0
+    for r in counted.groupBy("order").agg(F.count(F.lit(1)).alias("all"), *(F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5))).collect():  # ORDER rows
+        d = _discounts([float(r[f"n{i}"]) for i in range(1, 5)])
+        cut = F.when(F.col("order") == r["order"], F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])).otherwise(cut)
+        symbols = r["all"] if r["order"] == 1 else symbols
+    contexts = checkpoint(counted.groupBy("order", "h").agg(F.sum("n").alias("all"), F.sum(cut).alias("cut")))
+    own = counted.join(contexts.drop("cut"), ["order", "h"]).select("order", "g", ((F.col("n") - cut) / F.col("all")).alias("value"))
+    return Model(checkpoint(own), contexts.select("order", "h", (F.col("cut") / F.col("all")).alias("value")), 1.0 / (symbols + 1))
+
+
+def gram_bits(grams: DataFrame, model: Model) -> DataFrame:
+    """``grams`` (distinct ``g`` of five symbols, and other columns) with the bits of each.
+
+    Orders are joined from the lowest: p = own + rest * p of the last symbols.
+    """
+    wanted = {ORDER: grams}
     for order in range(ORDER - 1, 0, -1):
-        low = F.col("g").bitwiseAND(F.lit((1 << (BITS * order)) - 1)).alias("g")
-        by_order[order] = by_order[order + 1].select(low).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    model, lower = {}, None
+        wanted[order] = wanted[order + 1].select(_suffix(order).alias("g")).distinct()
+    lower = None
     for order in range(1, ORDER + 1):
-        counted = by_order[order].withColumn("h", F.shiftright("g", BITS))
-        d = _discounts(counted)
-        cut: Column = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        contexts = counted.groupBy("h").agg(F.sum("n").alias("all"), F.sum(cut).alias("cut")).select("h", "all", (F.col("cut") / F.col("all")).alias("backoff"))
-        joined = counted.join(contexts, "h")
+        own = model.own.where(F.col("order") == order).select("g", F.col("value").alias("own"))
+        rest = model.rest.where(F.col("order") == order).select("h", F.col("value").alias("rest"))
+        asked = wanted[order].withColumn("h", F.expr("substring(g, 1, length(g) - 4)")).join(own, "g", "left").join(rest, "h", "left").drop("h")
         if lower is None:
-            joined = joined.withColumn("under", F.lit(1.0 / SYMBOLS))
+            asked = asked.withColumn("p", F.lit(model.base))
         else:
-            joined = joined.withColumn("low", F.col("g").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1))).join(lower, "low")
-        lower = checkpoint(joined.select(F.col("g").alias("low"), ((F.col("n") - cut) / F.col("all") + F.col("backoff") * F.col("under")).alias("under")))
-        p, h = lower.toArrow(), contexts.select("h", "backoff").toArrow()  # at most 64**order and 64**(order - 1) rows
-        model[order] = (*(np.asarray(p.column(i)) for i in range(2)), *(np.asarray(h.column(i)) for i in range(2)))
-    return model
+            asked = asked.withColumn("low", _suffix(order - 1)).join(lower, "low").drop("low")
+        asked = asked.withColumn("p", F.coalesce("own", F.lit(0.0)) + F.coalesce("rest", F.lit(1.0)) * F.col("p")).drop("own", "rest")
+        lower = asked.select(F.col("g").alias("low"), "p")
+    return asked.withColumn("bits", -F.log2("p")).drop("p")
 
 
-def _cost_table(model: dict[int, tuple[np.ndarray, ...]]) -> np.ndarray:
-    """Bits of every 4-gram; n-grams that were not seen back off."""
-    under = np.full(1, 1.0 / SYMBOLS, dtype=np.float32)
-    for order in range(1, ORDER + 1):
-        codes, p, contexts, backoff = model[order]
-        weight = np.ones(SYMBOLS ** (order - 1), dtype=np.float32)
-        weight[contexts] = backoff
-        size = SYMBOLS ** (order - 1)
-        dense = np.empty((size, SYMBOLS), dtype=np.float32)
-        if order == 1:
-            dense[:] = weight[0] * under[0]
-        else:
-            lower = under.reshape(-1, SYMBOLS)
-            np.multiply(weight.reshape(SYMBOLS, -1, 1), lower[None, :, :], out=dense.reshape(SYMBOLS, -1, SYMBOLS))
-        under = dense.reshape(-1)
-        under[codes] = p
-    np.log2(under, out=under)
-    np.negative(under, out=under)
-    return under
-
-
-def score(documents: DataFrame, model: dict[int, tuple[np.ndarray, ...]], text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """``documents``, without the text unless asked for, and ``__symbols`` (long)
-    and ``__bits`` (double) of each text."""
-    sent = documents.sparkSession.sparkContext.broadcast(model)  # at most 2 * 64**4 numbers
-    at = documents.columns.index(text_col)
-    kept = [i for i in range(len(documents.columns)) if keep_text or i != at]
-    built: list[np.ndarray] = []
+def _chunks(parts: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(chunk, rows) of a task; a chunk is its next CHUNK_CHARS, rows have about PACK_BYTES."""
+    base, chunk, size = TaskContext.get().partitionId() << 24, 0, 0
+    for part in parts:
+        lengths = np.array([len(t or "") for t in part.column(text_at).to_pylist()], dtype=np.int64)
+        cuts = np.unique(np.concatenate(([0], np.searchsorted(np.cumsum(lengths), np.arange(PACK_BYTES, int(lengths.sum()) + 1, PACK_BYTES)) + 1, [len(lengths)])))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if size >= CHUNK_CHARS:
+                chunk, size = chunk + 1, 0
+            size += int(lengths[a:b].sum())
+            yield base + chunk, part.slice(a, b - a)
+
+
+def _packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
 
+def _asker(shards: int, text_at: int):
+    """Requests: (shard, chunk, distinct 5-grams in the order of their hash)."""
+
+    def ask(chunk: int, seen: _Distinct) -> pa.RecordBatch:
+        found, _, symbols = seen.merged()
+        shard = (found % U(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        ends = np.searchsorted(shard[order], np.arange(shards + 1))
+        asked = [s for s in range(shards) if ends[s + 1] > ends[s]]
+        blobs = [_packed(np.ascontiguousarray(symbols[order[ends[s] : ends[s + 1]]]).tobytes()) for s in asked]
+        return pa.RecordBatch.from_arrays([pa.array(asked, pa.int32()), pa.array([chunk] * len(asked), pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "chunk", "blob"])
+
+    def stage(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen = None, _Distinct()
+        for chunk, rows in _chunks(parts, text_at):
+            if chunk != at:
+                if at is not None:
+                    yield ask(at, seen)
+                at, seen = chunk, _Distinct()
+            for units, places, _ in _batches(rows.column(text_at).to_pylist()):
+                seen.add(units, places)
+        if at is not None:
+            yield ask(at, seen)
+
+    return stage
+
+
+def _grams_of(blob: bytes) -> np.ndarray:
+    return np.frombuffer(_unpacked(blob), dtype="<u4").reshape(-1, ORDER)
+
+
+def _hash_of(symbols: np.ndarray) -> np.ndarray:
+    return _hashes(symbols.reshape(-1), np.arange(ORDER - 1, symbols.size, ORDER))
+
+
+def _distinct(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, g): the distinct 5-grams of the requests of a shard."""
+    shards: dict[int, _Distinct] = {}
+    for part in parts:
+        for shard, blob in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            symbols = _grams_of(blob)
+            shards.setdefault(shard, _Distinct()).add(symbols.reshape(-1), np.arange(ORDER - 1, symbols.size, ORDER))
+    for shard, seen in shards.items():
+        symbols = seen.merged()[2]
+        for a in range(0, len(symbols), 1 << 18):
+            rows = symbols[a : a + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), shard, dtype=np.int32)), _binary(rows)], names=["shard", "g"])
+
+
+def _answer(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (shard, chunk): the costs of a shard, then its requests."""
+    at, grams, costs, hashes = None, [], [], None
+    for part in parts:
+        out: list[tuple[int, int, bytes]] = []
+        for shard, chunk, blob, bits in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+            if shard != at:
+                at, grams, costs, hashes = shard, [], [], None
+            if chunk < 0:
+                grams.append(blob)
+                costs.append(bits)
+                continue
+            if hashes is None:
+                hashes = _hash_of(np.frombuffer(b"".join(grams), dtype="<u4").reshape(-1, ORDER))
+                order = np.argsort(hashes)
+                hashes, known, grams = hashes[order], np.array(costs, dtype=np.float32)[order], []
+            out.append((chunk, shard, _packed(known[np.searchsorted(hashes, _hash_of(_grams_of(blob)))].tobytes())))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["chunk", "shard", "blob"])
+
+
+def _pack(text_at: int):
     def stage(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, rows in _chunks(parts, text_at):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([2**31 - 1], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "shard", "blob"])
+
+    return stage
+
+
+def _scorer(shards: int, text_at: int, kept: list[int]):
+    """Rows sorted by (chunk, shard): the answers to a chunk, then its documents."""
+
+    def score(answers: dict[int, bytes], packs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[pa.RecordBatch]:
+            for blob in packs:
+                yield from pa.ipc.open_stream(blob)
+
+        seen = _Distinct(grams=False)
+        for part in rows():
+            for units, at, _ in _batches(part.column(text_at).to_pylist()):
+                seen.add(units, at)
+        found = seen.merged()[0]
+        costs, shard = np.zeros(len(found)), (found % U(shards)).astype(np.int64)
+        for s in range(shards):
+            mine = np.flatnonzero(shard == s)
+            given = np.frombuffer(_unpacked(answers[s]), dtype=np.float32) if s in answers else np.zeros(0, dtype=np.float32)
+            if len(mine) != len(given):
+                raise RuntimeError("documents weren't the same when they were read again")
+            costs[mine] = given
+        for part in rows():
+            texts = part.column(text_at).to_pylist()
+            bits = np.zeros(len(texts))
+            for units, at, doc in _batches(texts):
+                bits += np.bincount(doc, costs[np.searchsorted(found, _hashes(units, at))], minlength=len(texts))
+            symbols = np.fromiter((len(t or "") for t in texts), dtype=np.int64, count=len(texts))
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(symbols), pa.array(bits)], names=[*(part.schema.names[i] for i in kept), "__symbols", "__bits"])
+
+    def stage(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, answers, packs = None, {}, []
         for part in parts:
-            if not built:
-                built.append(_cost_table(sent.value))
-            symbols, bits = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
-            for texts in _batches(part.column(at).to_pylist()):
-                codes, where = _grams(texts)
-                sums = np.concatenate(([0.0], np.cumsum(built[0][codes], dtype=np.float64)))
-                symbols.append(np.diff(where))
-                bits.append(np.diff(sums[where]))
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(i) for i in kept), pa.array(np.concatenate(symbols)), pa.array(np.concatenate(bits))],
-                names=[*(part.schema.names[i] for i in kept), "__symbols", "__bits"],
-            )
-
-    fields = [documents.schema.fields[i] for i in kept]
-    return documents.mapInArrow(stage, StructType([*fields, StructField("__symbols", LongType()), StructField("__bits", DoubleType())]))
+            for chunk, shard, blob in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                if chunk != at:
+                    yield from score(answers, packs)
+                    at, answers, packs = chunk, {}, []
+                if shard < shards:
+                    answers[shard] = blob
+                else:
+                    packs.append(blob)
+        yield from score(answers, packs)
+
+    return stage
+
+
+def score(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``documents`` without the text, and ``__symbols`` (long) and ``__bits``
+    (double) of each whole text; null and empty texts have none of either.
+
+    ``documents`` is read twice and has to be the same then: a table or a checkpoint.
+    """
+    shards = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = documents.columns.index(text_col)
+    # Both readings take the same columns, so that both have the same plan.
+    asked = checkpoint(documents.mapInArrow(_asker(shards, at), "shard int, chunk long, blob binary"))
+    distinct = asked.select("shard", "blob").repartition(shards, "shard").mapInArrow(_distinct, "shard int, g binary")
+    costs = gram_bits(distinct, model).select("shard", F.lit(-1).cast("long").alias("chunk"), F.col("g").alias("blob"), "bits")
+    requests = costs.unionByName(asked.withColumn("bits", F.lit(None).cast("double")))
+    answers = requests.repartition(shards, "shard").sortWithinPartitions("shard", "chunk").mapInArrow(_answer, "chunk long, shard int, blob binary")
+    kept = [i for i in range(len(documents.columns)) if i != at]
+    packs = documents.mapInArrow(_pack(at), "chunk long, shard int, blob binary")
+    met = packs.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", "shard")
+    schema = StructType([*(documents.schema.fields[i] for i in kept), StructField("__symbols", LongType()), StructField("__bits", DoubleType())])
+    return met.mapInArrow(_scorer(shards, at, kept), schema)
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality", toxic_col: str = "toxic") -> DataFrame:
@@ -199,59 +373,75 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     return ranked.where(F.col("below") >= F.ceil(F.col("all") * quantile)).groupBy("language").agg(F.min("score").alias("limit"))
 
 
-def _rated(scored: DataFrame, means: DataFrame) -> DataFrame:
-    """Adds __mean and __score (whole steps of bits a symbol)."""
-    drawn = (F.col("__bits") + PRIOR_SYMBOLS * F.col("__mean")) / (F.col("__symbols") + PRIOR_SYMBOLS)
-    return scored.join(sized(means, BROADCAST_LANGUAGES), "__language").withColumn("__score", F.ceil(drawn * STEPS).cast("long"))
+def _excess() -> Column:
+    return (F.col("__bits") - F.col("__symbols") * F.col("__mean")) / F.sqrt(F.greatest(F.col("__symbols"), F.lit(1)))
 
 
-def _fit(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float):
-    """Model, scores of all documents, and mean and limit of each language."""
-    ids = trusted_ids(labels, id_col)
-    held = F.pmod(F.xxhash64("id"), F.lit(CALIBRATION)) == 0
-    text = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(ids.where(~held).hint("shuffle_hash"), "id", "left_semi").select("text")
-    model = train(text)
-    scored = checkpoint(score(documents.withColumn("__language", F.coalesce(F.col(lang_col), F.lit(""))), model, text_col))
-    means = checkpoint(scored.groupBy("__language").agg((F.sum("__bits") / F.greatest(F.sum("__symbols"), F.lit(1))).alias("__mean")))
-    flags = ids.where(held).select(F.col("id").alias("__id"))
-    trusted = _rated(scored, means).where("__symbols > 0").join(flags, F.col(id_col) == F.col("__id"), "left_semi")
-    limits = thresholds(trusted.select(F.col("__language").alias("language"), F.col("__score").alias("score"), F.lit(True).alias("trusted")), quantile)
-    limits = checkpoint(limits.select(F.col("language").alias("__language"), (F.col("limit") + MARGIN_BITS * STEPS).alias("__limit")))
-    return model, scored, means, limits
+def language_limits(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """(__language, __mean, __limit) of the languages with trusted documents.
+
+    ``scored``: __language, __symbols, __bits and held (not seen by the model)
+    of trusted documents with text.  A language without held documents has the
+    mean of its other ones and the mean spread of all languages.
+    """
+    square = F.col("__bits") * F.col("__bits") / F.col("__symbols")
+    sums = [F.sum(F.when(on, F.col(c))).alias(f"{c}{n}") for c in ("__bits", "__symbols") for n, on in (("", F.lit(True)), ("_h", F.col("held")))]
+    per = scored.groupBy("__language").agg(*sums, F.count_if("held").alias("n"), F.sum(F.when(F.col("held"), square)).alias("squares"))
+    per = per.withColumn("__mean", F.when(F.col("n") > 0, F.col("__bits_h") / F.col("__symbols_h")).otherwise(F.col("__bits") / F.col("__symbols")))
+    spread = (F.col("squares") - 2 * F.col("__mean") * F.col("__bits_h") + F.col("__mean") * F.col("__mean") * F.col("__symbols_h")) / F.nullif(F.col("n"), F.lit(0))
+    per = checkpoint(per.select("__language", "__mean", "n", F.when(F.col("n") > 0, F.sqrt(F.greatest(spread, F.lit(1e-6)))).alias("spread")))
+    held = scored.where("held").join(sized(per, BROADCAST_LANGUAGES), "__language").withColumn("excess", _excess())
+    own = thresholds(held.select(F.col("__language").alias("language"), F.ceil(F.col("excess") * STEPS).cast("long").alias("score"), F.lit(True).alias("trusted")), quantile)
+    pooled = thresholds(held.select(F.lit("").alias("language"), F.ceil(F.col("excess") / F.col("spread") * STEPS).cast("long").alias("score"), F.lit(True).alias("trusted")), quantile)
+    found = pooled.agg(F.max("limit")).first()[0]
+    typical = per.agg(F.avg("spread")).first()[0]
+    if found is None:  # nothing is held: no limit can be set
+        return per.select("__language", "__mean", F.lit(None).cast("long").alias("__limit"))
+    shared = F.ceil(F.coalesce("spread", F.lit(typical)) * found).cast("long")
+    limits = per.join(own.select(F.col("language").alias("__language"), "limit"), "__language", "left")
+    return checkpoint(limits.select("__language", "__mean", F.when(F.col("n") >= FEWEST_HELD, F.col("limit")).otherwise(shared).alias("__limit")))
+
+
+def _rated(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float) -> DataFrame:
+    """Columns of ``documents`` but the text, and __symbols, __bits, __mean and __limit."""
+    ids = checkpoint(trusted_ids(labels, id_col).withColumn("held", F.pmod(F.xxhash64("id"), F.lit(CALIBRATION)) == 0))
+    told = sized(ids.withColumnRenamed("id", "__id"), BROADCAST_KEYS)
+    text = documents.where(F.col(text_col).isNotNull()).select(id_col, text_col).join(told.where("not held"), F.col(id_col) == F.col("__id"), "left_semi").select(text_col)
+    scored = checkpoint(score(documents.withColumn("__language", F.coalesce(F.col(lang_col).cast("string"), F.lit(""))), train(text), text_col))
+    trusted = scored.where("__symbols > 0").join(told, F.col(id_col) == F.col("__id")).select("__language", "__symbols", "__bits", "held")
+    return scored.join(sized(language_limits(trusted, quantile), BROADCAST_LANGUAGES), "__language", "left")
+
+
+def _accepted() -> Column:
+    return F.coalesce(F.ceil(_excess() * STEPS) <= F.col("__limit"), F.lit(True)) | (F.col("__symbols") == 0)
 
 
 def classify(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """One row per document row: the columns of ``documents`` but the text,
-    and perplexity, score, limit (perplexities too) and accepted.
-
-    Perplexity is that of whole texts; for the score a short text's mean is
-    drawn to the mean of its language.  Texts without characters (null, empty)
-    have no perplexity and are accepted, as is a language without trusted text.
-    A null language is one language; repeated rows each keep their row.
-    Columns of ``documents`` named like the results are replaced.
+    and perplexity, limit (the perplexity that a text of its language and
+    length may have) and accepted.
+
+    Perplexity is that of whole texts, however long.  Texts without characters
+    (null, empty) have no perplexity and no limit and are accepted, as is a
+    language without trusted text.  A null language is one language; a null id
+    has no label; repeated rows each keep their row; an empty table stays empty
+    and without labels nothing is rejected.  Columns of ``documents`` named
+    like the results are replaced.
     """
-    documents = documents.drop("perplexity", "score", "limit", "accepted")
-    _, scored, means, limits = _fit(documents, labels, id_col, text_col, lang_col, quantile)
+    documents = documents.drop("perplexity", "limit", "accepted")
+    symbols = F.when(F.col("__symbols") > 0, F.col("__symbols"))
     return (
-        _rated(scored, means)
-        .join(sized(limits, BROADCAST_LANGUAGES), "__language", "left")
-        .withColumn("perplexity", F.when(F.col("__symbols") > 0, F.pow(F.lit(2.0), F.col("__bits") / F.greatest("__symbols", F.lit(1)))))
-        .withColumn("score", F.pow(F.lit(2.0), F.col("__score") / STEPS))
-        .withColumn("limit", F.pow(F.lit(2.0), F.col("__limit") / STEPS))
+        _rated(documents, labels, id_col, text_col, lang_col, quantile)
+        .withColumn("perplexity", F.pow(F.lit(2.0), F.col("__bits") / symbols))
+        .withColumn("limit", F.pow(F.lit(2.0), F.col("__mean") + F.col("__limit") / STEPS / F.sqrt(symbols)))
         .withColumn("accepted", _accepted())
-        .select(*(c for c in documents.columns if c != text_col), "perplexity", "score", "limit", "accepted")
+        .select(*(c for c in documents.columns if c != text_col), "perplexity", "limit", "accepted")
     )
 
 
-def _accepted() -> Column:
-    return F.coalesce(F.col("__score") <= F.col("__limit"), F.lit(True)) | (F.col("__symbols") == 0)
-
-
 def accepted_documents(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
-    """The documents that ``classify`` accepts, with their texts.
-
-    Texts are scored once more where they lie, so none is shuffled for this.
-    """
-    model, _, means, limits = _fit(documents, labels, id_col, text_col, lang_col, quantile)
-    scored = score(documents.withColumn("__language", F.coalesce(F.col(lang_col), F.lit(""))), model, text_col, keep_text=True)
-    return _rated(scored, means).join(sized(limits, BROADCAST_LANGUAGES), "__language", "left").where(_accepted()).select(*documents.columns)
+    """The documents that ``classify`` accepts, with their texts; odd rows as there."""
+    keys = {"__did": safe_id(id_col), **{f"__{k}": c for k, c in text_keys(F.col(text_col)).items()}, "__lang": F.coalesce(F.col(lang_col).cast("string"), F.lit(""))}
+    slim = documents.select(F.col(id_col), F.col(text_col), F.col(lang_col), *(c.alias(k) for k, c in keys.items()))
+    rejected = checkpoint(_rated(slim, labels, id_col, text_col, lang_col, quantile).where(~_accepted()).select(*keys).distinct())
+    return documents.withColumns(keys).join(sized(rejected, BROADCAST_KEYS), list(keys), "left_anti").select(*documents.columns)
