@@ -45,6 +45,8 @@ STEPS = 1000
 BUFFER_CHARS, CHUNK_CHARS = 1 << 19, 1 << 26
 #: Bytes of texts that are packed together.
 PACK_BYTES = 4 << 20
+#: Compression level of what is sent.
+LEVEL = 4
 #: Tables of languages, of trusted ids and of rejected documents of at most so many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_LANGUAGES, BROADCAST_KEYS = 10_000, 1 << 20
 
@@ -87,6 +89,10 @@ def _hashes(units: np.ndarray, at: np.ndarray) -> np.ndarray:
     return textnum.mix(total)
 
 
+def _hash_of(symbols: np.ndarray) -> np.ndarray:
+    return _hashes(np.ascontiguousarray(symbols).reshape(-1), np.arange(ORDER - 1, symbols.size, ORDER))
+
+
 class _Distinct:
     """Distinct 5-grams by hash, their counts and, if kept, their symbols."""
 
@@ -95,7 +101,9 @@ class _Distinct:
 
     def add(self, units: np.ndarray, at: np.ndarray) -> None:
         found, first, times = np.unique(_hashes(units, at), return_index=True, return_counts=True)
-        symbols = units[at[first][:, None] + np.arange(1 - ORDER, 1)] if self.grams else None
+        self.put(found, times, units[at[first][:, None] + np.arange(1 - ORDER, 1)] if self.grams else None)
+
+    def put(self, found: np.ndarray, times: np.ndarray, symbols: np.ndarray | None) -> None:
         self.parts.append((found, times, symbols))
         self.size += len(found)
         if self.size > 2 * self.least:
@@ -117,12 +125,49 @@ def _binary(symbols: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(_WIDTH), len(flat), [None, pa.py_buffer(flat)]).cast(pa.binary())
 
 
-def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the 5-grams of the texts of a task."""
+def _packed(data: np.ndarray) -> bytes:
+    """Columns of ``data`` one after the other, compressed."""
+    raw = np.ascontiguousarray(data.T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", LEVEL).compress(raw, asbytes=True)
+
+
+def _unpacked(blob: bytes, kind: str, columns: int = 1) -> np.ndarray:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    return np.frombuffer(raw, dtype=kind).reshape(columns, -1).T
+
+
+def _by_shard(found: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, rows in the order of their hash)."""
+    shard = (found % U(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    ends = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in range(shards):
+        if ends[s + 1] > ends[s]:
+            yield s, order[ends[s] : ends[s + 1]]
+
+
+def _counter(shards: int):
+    """(shard, 5-grams of the texts of a task, their counts)."""
+
+    def stage(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = _Distinct()
+        for part in parts:
+            for units, at, _ in _batches(part.column(0).to_pylist()):
+                total.add(units, at)
+        found, times, symbols = total.merged()
+        rows = [(s, _packed(symbols[i]), _packed(times[i])) for s, i in _by_shard(found, shards)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], names=["shard", "blob", "times"])
+
+    return stage
+
+
+def _add_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, n): the counts of the 5-grams of a partition of shards, added up."""
     total = _Distinct()
     for part in parts:
-        for units, at, _ in _batches(part.column(0).to_pylist()):
-            total.add(units, at)
+        for blob, times in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+            symbols = _unpacked(blob, "<u4", ORDER)
+            total.put(_hash_of(symbols), _unpacked(times, "<i8")[:, 0], symbols)
     _, times, symbols = total.merged()
     for a in range(0, len(times), 1 << 18):
         yield pa.RecordBatch.from_arrays([_binary(symbols[a : a + (1 << 18)]), pa.array(times[a : a + (1 << 18)])], names=["g", "n"])
@@ -150,7 +195,9 @@ class Model:
 
 def train(trusted_text: DataFrame) -> Model:
     """The model of a one-column frame of texts."""
-    table = checkpoint(trusted_text.mapInArrow(_count, "g binary, n long").groupBy("g").agg(F.sum("n").alias("n")))
+    shards = int(trusted_text.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = trusted_text.mapInArrow(_counter(shards), "shard int, blob binary, times binary").repartition(shards, "shard")
+    table = checkpoint(sent.mapInArrow(_add_up, "g binary, n long"))
     counted = table.select(F.lit(ORDER).alias("order"), "g", "n")
     for order in range(ORDER - 1, 0, -1):
         table = table.select(_suffix(order).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
@@ -201,25 +248,13 @@ def _chunks(parts: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[int
             yield base + chunk, part.slice(a, b - a)
 
 
-def _packed(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
-
-
-def _unpacked(blob: bytes) -> bytes:
-    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
-
-
 def _asker(shards: int, text_at: int):
     """Requests: (shard, chunk, distinct 5-grams in the order of their hash)."""
 
     def ask(chunk: int, seen: _Distinct) -> pa.RecordBatch:
         found, _, symbols = seen.merged()
-        shard = (found % U(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        ends = np.searchsorted(shard[order], np.arange(shards + 1))
-        asked = [s for s in range(shards) if ends[s + 1] > ends[s]]
-        blobs = [_packed(np.ascontiguousarray(symbols[order[ends[s] : ends[s + 1]]]).tobytes()) for s in asked]
-        return pa.RecordBatch.from_arrays([pa.array(asked, pa.int32()), pa.array([chunk] * len(asked), pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "chunk", "blob"])
+        rows = [(s, _packed(symbols[i])) for s, i in _by_shard(found, shards)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "chunk", "blob"])
 
     def stage(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, seen = None, _Distinct()
@@ -236,21 +271,13 @@ def _asker(shards: int, text_at: int):
     return stage
 
 
-def _grams_of(blob: bytes) -> np.ndarray:
-    return np.frombuffer(_unpacked(blob), dtype="<u4").reshape(-1, ORDER)
-
-
-def _hash_of(symbols: np.ndarray) -> np.ndarray:
-    return _hashes(symbols.reshape(-1), np.arange(ORDER - 1, symbols.size, ORDER))
-
-
 def _distinct(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(shard, g): the distinct 5-grams of the requests of a shard."""
     shards: dict[int, _Distinct] = {}
     for part in parts:
         for shard, blob in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-            symbols = _grams_of(blob)
-            shards.setdefault(shard, _Distinct()).add(symbols.reshape(-1), np.arange(ORDER - 1, symbols.size, ORDER))
+            symbols = _unpacked(blob, "<u4", ORDER)
+            shards.setdefault(shard, _Distinct()).put(_hash_of(symbols), np.ones(len(symbols), dtype=np.int64), symbols)
     for shard, seen in shards.items():
         symbols = seen.merged()[2]
         for a in range(0, len(symbols), 1 << 18):
@@ -274,7 +301,7 @@ def _answer(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hashes = _hash_of(np.frombuffer(b"".join(grams), dtype="<u4").reshape(-1, ORDER))
                 order = np.argsort(hashes)
                 hashes, known, grams = hashes[order], np.array(costs, dtype=np.float32)[order], []
-            out.append((chunk, shard, _packed(known[np.searchsorted(hashes, _hash_of(_grams_of(blob)))].tobytes())))
+            out.append((chunk, shard, _packed(known[np.searchsorted(hashes, _hash_of(_unpacked(blob, "<u4", ORDER)))])))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["chunk", "shard", "blob"])
 
 
@@ -282,7 +309,7 @@ def _pack(text_at: int):
     def stage(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, rows in _chunks(parts, text_at):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as writer:
                 writer.write_batch(rows)
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([2**31 - 1], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "shard", "blob"])
 
@@ -305,7 +332,7 @@ def _scorer(shards: int, text_at: int, kept: list[int]):
         costs, shard = np.zeros(len(found)), (found % U(shards)).astype(np.int64)
         for s in range(shards):
             mine = np.flatnonzero(shard == s)
-            given = np.frombuffer(_unpacked(answers[s]), dtype=np.float32) if s in answers else np.zeros(0, dtype=np.float32)
+            given = _unpacked(answers[s], "<f4")[:, 0] if s in answers else np.zeros(0, dtype=np.float32)
             if len(mine) != len(given):
                 raise RuntimeError("documents weren't the same when they were read again")
             costs[mine] = given
