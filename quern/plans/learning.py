@@ -89,11 +89,14 @@ def ml_logistic(labels, documents):
     return ml.LogisticRegression(["size"], "label").fit(rows).transform(rows).select("doc_id", "prediction")
 
 
+COMPONENTS = 64
+
+
 @query("embeddings")
 def ml_knn_vote(embeddings):
-    points = embeddings.select("vec_id", "label", *(F.get("embedding", F.lit(i)).alias(f"x{i}") for i in range(8)))
-    model = ml.KNeighborsClassifier([f"x{i}" for i in range(8)], "label", k=5).fit(points)
-    return model.transform(points).select("vec_id", "label", "prediction")
+    names = [f"x{i}" for i in range(COMPONENTS)]
+    points = embeddings.select("vec_id", "label", *(F.get("embedding", F.lit(i)).alias(n) for i, n in enumerate(names)))
+    return ml.KNeighborsClassifier(names, "label", k=5).fit(points).transform(points).select("vec_id", "label", "prediction")
 
 
 @query("part")
