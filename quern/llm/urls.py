@@ -78,14 +78,40 @@ def with_rules(df: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame) -> D
     return df.join(best, ["host", "path"], "left").withColumns({"rule": F.col("best.rule"), "own": F.col("best.own")}).drop("best")
 
 
-def html_links(html: Column, url: Column, host: Column) -> Column:
-    """Absolute targets of the canonical link and the meta refresh of a page."""
+def _resolved(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` parts."""
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.when(F.size(done) > 1, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(done)
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    kept = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), kept).otherwise(path)
+
+
+def absolute(target: Column, host: Column, path: Column) -> Column:
+    """A link target of a page as an absolute URL; null for other schemes and for places inside the page."""
+    x = F.replace(target, F.lit("&amp;"), F.lit("&"))
+    tail = F.regexp_extract(x, r"([?#].*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, r"^/?(.*/)?[^/]*$", 1))
+    near = F.concat(F.lit("http://"), host, _resolved(F.concat(folder, F.regexp_extract(x, r"^[^?#]*", 0))), tail)
+    return (
+        F.when(x.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), x)
+        .when(x.startswith("//"), F.concat(F.lit("http:"), x))
+        .when(x.startswith("/"), F.concat(F.lit("http://"), host, _resolved(F.regexp_extract(x, r"^[^?#]*", 0)), tail))
+        .when(x.startswith("?"), F.concat(F.lit("http://"), host, path, x))
+        .when((x == "") | x.startswith("#") | x.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .otherwise(near)
+    )
+
+
+def html_links(html: Column, host: Column, path: Column) -> Column:
+    """Absolute targets of the first canonical link and the first meta refresh of a page."""
     found = F.array(
         F.regexp_extract(F.regexp_extract(html, CANONICAL_TAG, 0), HREF, 1),
         F.regexp_extract(F.regexp_extract(html, REFRESH_TAG, 0), REFRESH_URL, 1),
     )
-    whole = F.transform(found, lambda x: F.when(x.startswith("//"), F.concat(F.lit("http:"), x)).when(x.startswith("/"), F.concat(F.lit("http://"), host, x)).otherwise(x))
-    return F.filter(whole, lambda x: x.contains("://"))
+    return F.filter(F.transform(found, lambda x: absolute(x, host, path)), lambda x: x.isNotNull())
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame, redirects: DataFrame | None = None, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:
@@ -94,12 +120,13 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame, redire
     ``rules``: ('allow' or 'block', 'host/path prefix'), or a table of such
     with columns ``verdict`` and ``rule``.  ``redirects`` has columns ``source`` and ``target``.  A page with a rule keeps that rule's
     verdict.  Null urls have an empty host, no alias and are allowed; repeated
-    pages each keep their row; a null html has no links.
+    pages each keep their row; a null html has no links, an empty table no rows.
+    Link targets are resolved against the page, ``&amp;`` is ``&`` in them.
     """
     host, path, query = split_url(F.col("url"))
     base = pages.select(F.col(id_col), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     base = with_rules(base.withColumns({"host": host, "path": path, "alias": alias_key(host, path, query)}), rules)
-    links = base.where(F.col("alias").isNotNull()).select(F.col("alias").alias("a"), F.explode(html_links(F.col("html"), F.col("url"), F.col("host"))).alias("url"))
+    links = base.where(F.col("alias").isNotNull()).select(F.col("alias").alias("a"), F.explode(html_links(F.col("html"), F.col("host"), F.col("path"))).alias("url"))
     if redirects is not None:
         h, p, q = split_url(F.col("source"))
         links = links.unionByName(redirects.select(alias_key(h, p, q).alias("a"), F.col("target").alias("url")))

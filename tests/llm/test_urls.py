@@ -60,6 +60,17 @@ def test_redirects_refresh_and_relative_links(spark):
     assert [seen[i]["verdict"] for i in (1, 2, 3)] == ["block", "block", "allow"]
 
 
+def test_targets_relative_to_the_page(spark):
+    blocked = [(90, "http://w.com/de/2", None)]
+    links = ["2", "./2", "../de/2", "../../../de/./2", "3", "#x", "mailto:a@w.com", "2?utm_source=a&amp;ref=b", ""]
+    pages = spark.createDataFrame([(i, t) for i, t in enumerate(links)], "i int, t string")
+    found = {r["t"]: r["url"] for r in pages.select("t", urls.absolute(F.col("t"), F.lit("w.com"), F.lit("/de/9")).alias("url")).collect()}
+    assert found["2"] == found["./2"] == found["../de/2"] == found["../../../de/./2"] == "http://w.com/de/2" and found["3"] == "http://w.com/de/3"
+    assert found["#x"] is None and found["mailto:a@w.com"] is None and found[""] is None and found["2?utm_source=a&amp;ref=b"] == "http://w.com/de/2?utm_source=a&ref=b"
+    seen = judged(spark, [(1, "http://v.net/a/b", canonical("c")), (2, "http://v.net/a/c/", canonical("../../x/y")), (3, "http://v.net/x/y", canonical("http://w.com/de/2")), *blocked, (4, "http://v.net/z", canonical("#top"))])
+    assert [seen[i]["verdict"] for i in (1, 2, 3, 4)] == ["block", "block", "block", "allow"]
+
+
 def test_empty_repeated_and_extra_columns(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert urls.judge(none, RULES).count() == 0
