@@ -37,22 +37,28 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = lines.dedup_lines(table(spark, sf_dir, "documents"))
-    return left.select("doc_id", "n_lines", "n_removed", "n_chunks_removed", F.md5("text").alias("text_md5"))
+    return left.select("doc_id", "n_lines", "n_removed", "n_runs_removed", F.md5("text").alias("text_md5"))
 
 
 OP3_SQL = """
 WITH doc AS (SELECT DISTINCT doc_id, text FROM documents WHERE contains(text, chr(10))),
 line AS (SELECT doc_id, text, i, l[i] AS s FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM doc), unnest(range(1, len(l) + 1)) AS t(i)),
-roll AS (SELECT *, CASE WHEN i > 2 AND substr(md5(md5(lag(s, 2) OVER w) || md5(lag(s) OVER w)), 1, 1) IN ('0', '1', '2', '3') THEN 1 ELSE 0 END AS starts
+roll AS (SELECT *, CASE WHEN i > 1 AND (substr(md5(s), 1, 1) IN ('0', '1', '2', '3', '4', '5', '6', '7', '8', '9', 'a', 'b')
+                OR i > 2 AND substr(md5(md5(lag(s, 2) OVER w) || md5(lag(s) OVER w)), 1, 1) IN ('0', '1', '2', '3')) THEN 1 ELSE 0 END AS starts
          FROM line WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)),
 numbered AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id, text ORDER BY i) AS c FROM roll),
-chunk AS (SELECT doc_id, text, c, min(i) AS pos, count(*) AS n, string_agg(s, chr(10) ORDER BY i) AS body FROM numbered GROUP BY doc_id, text, c HAVING count(*) > 1),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS nth FROM chunk),
-gone AS (SELECT doc_id, text, c, n FROM ranked WHERE nth > 1),
-per AS (SELECT doc_id, text, sum(n) AS n_removed, count(*) AS n_chunks FROM gone GROUP BY ALL),
-kept AS (SELECT doc_id, text, string_agg(s, chr(10) ORDER BY i) AS rest FROM numbered ANTI JOIN gone USING (doc_id, text, c) GROUP BY doc_id, text)
+chunk AS (SELECT doc_id, text, c, min(i) AS pos, count(*) AS n, string_agg(s, chr(10) ORDER BY i) AS body FROM numbered GROUP BY doc_id, text, c),
+often AS (SELECT * FROM chunk SEMI JOIN (SELECT body FROM chunk GROUP BY body HAVING count(*) > 1) USING (body)),
+passage AS (SELECT doc_id, text, pos, n, body AS one, NULL AS two FROM often WHERE n > 1
+            UNION ALL SELECT a.doc_id, a.text, a.pos, a.n + b.n, a.body, b.body FROM often a JOIN often b
+            ON a.doc_id = b.doc_id AND a.text = b.text AND b.c = a.c + 1 WHERE a.n = 1 OR b.n = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY one, two ORDER BY doc_id, pos) AS nth, count(*) OVER (PARTITION BY one, two) AS times FROM passage),
+covered AS (SELECT doc_id, text, bool_or(nth = 1) AS stays, t.i FROM ranked, unnest(range(pos, pos + n)) AS t(i) WHERE times > 1 GROUP BY ALL),
+gone AS (SELECT doc_id, text, i, CASE WHEN lag(i) OVER (PARTITION BY doc_id, text ORDER BY i) = i - 1 THEN 0 ELSE 1 END AS fresh FROM covered WHERE NOT stays),
+per AS (SELECT doc_id, text, count(*) AS n_removed, sum(fresh) AS n_runs FROM gone GROUP BY ALL),
+kept AS (SELECT doc_id, text, string_agg(s, chr(10) ORDER BY i) AS rest FROM numbered ANTI JOIN gone USING (doc_id, text, i) GROUP BY doc_id, text)
 SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
-       CAST(coalesce(n_chunks, 0) AS BIGINT) AS n_chunks_removed,
+       CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs_removed,
        md5(CASE WHEN n_removed IS NULL THEN d.text ELSE coalesce(rest, '') END) AS text_md5
 FROM documents d LEFT JOIN per USING (doc_id, text) LEFT JOIN kept USING (doc_id, text)
 """
