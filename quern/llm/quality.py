@@ -43,10 +43,14 @@ FEWEST_HELD = 100
 STEPS = 1000
 #: Characters that are hashed at a time, and that one request covers at most.
 BUFFER_CHARS, CHUNK_CHARS = 1 << 19, 1 << 26
+#: Characters of a task's texts at least: partitions of fewer are joined, so that a 5-gram is asked for by fewer tasks.
+TASK_CHARS = 16 << 20
+#: Slots that equal 5-grams of a buffer meet in, as a power of two.
+SLOT_BITS = 21
 #: Bytes of texts that are packed together.
 PACK_BYTES = 4 << 20
 #: Compression level of what is sent.
-LEVEL = 4
+LEVEL = 6
 #: Tables of languages, of trusted ids and of rejected documents of at most so many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_LANGUAGES, BROADCAST_KEYS = 10_000, 1 << 20
 
@@ -81,41 +85,66 @@ def _symbols(pieces: list[tuple[int, str, str, bool]]) -> tuple[np.ndarray, np.n
     return units, np.flatnonzero(counted), np.repeat([p[0] for p in pieces], lengths)
 
 
+def _mixed(columns: Iterable[np.ndarray]) -> np.ndarray:
+    """Hashes of 5-grams whose symbols are in ``columns``, the last one first."""
+    total = U(0)
+    for back, column in enumerate(columns):
+        total = total + (column.astype(U) + U(1)) * U(pow(textnum.GRAM_BASE, back + 1, 1 << 64))
+    return textnum.mix(total)
+
+
 def _hashes(units: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A hash of the 5-gram that ends at each place."""
-    total = np.zeros(len(at), dtype=U)
-    for back in range(ORDER):
-        total += (units[at - back].astype(U) + U(1)) * U(pow(textnum.GRAM_BASE, back + 1, 1 << 64))
-    return textnum.mix(total)
+    if not len(at):
+        return np.zeros(0, dtype=U)
+    return _mixed(units[ORDER - 1 - back : len(units) - back] for back in range(ORDER))[at - ORDER + 1]
 
 
 def _hash_of(symbols: np.ndarray) -> np.ndarray:
-    return _hashes(np.ascontiguousarray(symbols).reshape(-1), np.arange(ORDER - 1, symbols.size, ORDER))
+    return _mixed(symbols[:, ORDER - 1 - back] for back in range(ORDER))
+
+
+def _alike(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of one of each distinct hash, for each hash the place of its equal among them).
+
+    The last hash of each slot stands for its equals there; those that share a
+    slot with another one are sorted.
+    """
+    slot, places = (hashes >> U(64 - SLOT_BITS)).astype(np.int64), np.arange(len(hashes))
+    last = np.empty(1 << SLOT_BITS, dtype=np.int64)
+    last[slot] = places
+    same = last[slot]
+    other = np.flatnonzero(hashes[same] != hashes)
+    _, first, which = np.unique(hashes[other], return_index=True, return_inverse=True)
+    same[other] = other[first][which]
+    return np.flatnonzero(same == places), same
 
 
 class _Distinct:
-    """Distinct 5-grams by hash, their counts and, if kept, their symbols."""
+    """Distinct 5-grams by hash, their counts and their symbols."""
 
-    def __init__(self, grams: bool = True) -> None:
-        self.grams, self.parts, self.size, self.least = grams, [], 0, 1 << 16
+    def __init__(self) -> None:
+        self.parts, self.size, self.least = [], 0, 1 << 16
 
     def add(self, units: np.ndarray, at: np.ndarray) -> None:
-        found, first, times = np.unique(_hashes(units, at), return_index=True, return_counts=True)
-        self.put(found, times, units[at[first][:, None] + np.arange(1 - ORDER, 1)] if self.grams else None)
+        hashes = _hashes(units, at)
+        first, same = _alike(hashes)
+        first = first[np.argsort(hashes[first])]
+        self.put(hashes[first], np.bincount(same, minlength=len(same))[first], units[at[first][:, None] + np.arange(1 - ORDER, 1)])
 
-    def put(self, found: np.ndarray, times: np.ndarray, symbols: np.ndarray | None) -> None:
+    def put(self, found: np.ndarray, times: np.ndarray, symbols: np.ndarray) -> None:
         self.parts.append((found, times, symbols))
         self.size += len(found)
         if self.size > 2 * self.least:
             self.least = max(self.least, len(self.merged()[0]))
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.parts:
             return np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64), np.zeros((0, ORDER), dtype="<u4")
         if len(self.parts) > 1:
             found, first, which = np.unique(np.concatenate([p[0] for p in self.parts]), return_index=True, return_inverse=True)
             times = np.bincount(which, np.concatenate([p[1] for p in self.parts])).astype(np.int64)
-            symbols = np.concatenate([p[2] for p in self.parts])[first] if self.grams else None
+            symbols = np.concatenate([p[2] for p in self.parts])[first]
             self.parts, self.size = [(found, times, symbols)], len(found)
         return self.parts[0]
 
@@ -136,10 +165,11 @@ def _unpacked(blob: bytes, kind: str, columns: int = 1) -> np.ndarray:
     return np.frombuffer(raw, dtype=kind).reshape(columns, -1).T
 
 
-def _by_shard(found: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(shard, rows in the order of their hash)."""
+def _by_shard(found: np.ndarray, symbols: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, rows in the order of their symbols, in which they compress best)."""
     shard = (found % U(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
+    wide = symbols.astype(U)
+    order = np.lexsort(((wide[:, 3] << U(21)) | wide[:, 4], (wide[:, 0] << U(42)) | (wide[:, 1] << U(21)) | wide[:, 2], shard))
     ends = np.searchsorted(shard[order], np.arange(shards + 1))
     for s in range(shards):
         if ends[s + 1] > ends[s]:
@@ -155,7 +185,7 @@ def _counter(shards: int):
             for units, at, _ in _batches(part.column(0).to_pylist()):
                 total.add(units, at)
         found, times, symbols = total.merged()
-        rows = [(s, _packed(symbols[i]), _packed(times[i])) for s, i in _by_shard(found, shards)]
+        rows = [(s, _packed(symbols[i]), _packed(times[i])) for s, i in _by_shard(found, symbols, shards)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], names=["shard", "blob", "times"])
 
     return stage
@@ -249,11 +279,11 @@ def _chunks(parts: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[int
 
 
 def _asker(shards: int, text_at: int):
-    """Requests: (shard, chunk, distinct 5-grams in the order of their hash)."""
+    """Requests: (shard, chunk, distinct 5-grams in the order of their symbols)."""
 
     def ask(chunk: int, seen: _Distinct) -> pa.RecordBatch:
         found, _, symbols = seen.merged()
-        rows = [(s, _packed(symbols[i])) for s, i in _by_shard(found, shards)]
+        rows = [(s, _packed(symbols[i])) for s, i in _by_shard(found, symbols, shards)]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "chunk", "blob"])
 
     def stage(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,23 +354,26 @@ def _scorer(shards: int, text_at: int, kept: list[int]):
             for blob in packs:
                 yield from pa.ipc.open_stream(blob)
 
-        seen = _Distinct(grams=False)
+        seen = _Distinct()
         for part in rows():
             for units, at, _ in _batches(part.column(text_at).to_pylist()):
                 seen.add(units, at)
-        found = seen.merged()[0]
-        costs, shard = np.zeros(len(found)), (found % U(shards)).astype(np.int64)
-        for s in range(shards):
-            mine = np.flatnonzero(shard == s)
-            given = _unpacked(answers[s], "<f4")[:, 0] if s in answers else np.zeros(0, dtype=np.float32)
-            if len(mine) != len(given):
-                raise RuntimeError("documents weren't the same when they were read again")
-            costs[mine] = given
+        found, _, symbols = seen.merged()
+        costs, asked = np.zeros(len(found)), dict(_by_shard(found, symbols, shards))
+        given = {s: _unpacked(blob, "<f4")[:, 0] for s, blob in answers.items()}
+        if {s: len(i) for s, i in asked.items()} != {s: len(bits) for s, bits in given.items()}:
+            raise RuntimeError("documents weren't the same when they were read again")
+        for s, i in asked.items():
+            costs[i] = given[s]
         for part in rows():
             texts = part.column(text_at).to_pylist()
             bits = np.zeros(len(texts))
             for units, at, doc in _batches(texts):
-                bits += np.bincount(doc, costs[np.searchsorted(found, _hashes(units, at))], minlength=len(texts))
+                hashes = _hashes(units, at)
+                first, same = _alike(hashes)
+                cost = np.zeros(len(hashes))
+                cost[first] = costs[np.searchsorted(found, hashes[first])]
+                bits += np.bincount(doc, cost[same], minlength=len(texts))
             symbols = np.fromiter((len(t or "") for t in texts), dtype=np.int64, count=len(texts))
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(symbols), pa.array(bits)], names=[*(part.schema.names[i] for i in kept), "__symbols", "__bits"])
 
@@ -376,7 +409,9 @@ def score(documents: DataFrame, model: Model, text_col: str = "text") -> DataFra
     answers = requests.repartition(shards, "shard").sortWithinPartitions("shard", "chunk").mapInArrow(_answer, "chunk long, shard int, blob binary")
     kept = [i for i in range(len(documents.columns)) if i != at]
     packs = documents.mapInArrow(_pack(at), "chunk long, shard int, blob binary")
-    met = packs.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", "shard")
+    # A chunk's number says which task of ``documents`` it is of: each has one here too.
+    tasks = documents.rdd.getNumPartitions()
+    met = packs.unionByName(answers).repartitionById(max(tasks, 1), F.shiftright("chunk", 24).cast("int")).sortWithinPartitions("chunk", "shard")
     schema = StructType([*(documents.schema.fields[i] for i in kept), StructField("__symbols", LongType()), StructField("__bits", DoubleType())])
     return met.mapInArrow(_scorer(shards, at, kept), schema)
 
@@ -432,9 +467,12 @@ def language_limits(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
 def _rated(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float) -> DataFrame:
     """Columns of ``documents`` but the text, and __symbols, __bits, __mean and __limit."""
     ids = checkpoint(trusted_ids(labels, id_col).withColumn("held", F.pmod(F.xxhash64("id"), F.lit(CALIBRATION)) == 0))
+    total = documents.agg(F.sum(F.length(text_col))).first()[0] or 0
+    tasks = max(documents.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_CHARS))
     told = sized(ids.withColumnRenamed("id", "__id"), BROADCAST_KEYS)
     text = documents.where(F.col(text_col).isNotNull()).select(id_col, text_col).join(told.where("not held"), F.col(id_col) == F.col("__id"), "left_semi").select(text_col)
-    scored = checkpoint(score(documents.withColumn("__language", F.coalesce(F.col(lang_col).cast("string"), F.lit(""))), train(text), text_col))
+    tongued = documents.withColumn("__language", F.coalesce(F.col(lang_col).cast("string"), F.lit(""))).coalesce(tasks)
+    scored = checkpoint(score(tongued, train(text.coalesce(tasks)), text_col))
     trusted = scored.where("__symbols > 0").join(told, F.col(id_col) == F.col("__id")).select("__language", "__symbols", "__bits", "held")
     return scored.join(sized(language_limits(trusted, quantile), BROADCAST_LANGUAGES), "__language", "left")
 
