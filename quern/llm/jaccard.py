@@ -1,7 +1,8 @@
 """Near-duplicate documents: n-gram Jaccard join by MinHash banding.
 
-1. Each distinct text gets a MinHash signature over its word 5-grams.  With
-   ``BANDS`` bands of ``ROWS`` rows a pair of similarity 0.8 shares a band with
+1. Each distinct text gets a MinHash signature over its word 5-grams.  Bands and
+   rows follow from the threshold and the recall wanted there (``banding``): for
+   0.8 they are 25 bands of 5 rows, which a pair of that similarity shares with
    probability 1 - (1 - 0.8**5)**25 > 0.9999.
 2. Band hashes are shuffled; each bucket links its members to its least member
    (a star, never all pairs), and the components of these links hold every
@@ -13,7 +14,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +29,30 @@ from quern.llm.components import components
 
 SIZE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 25, 5
+#: Share of the pairs at the threshold that have to share a band, and hashes of a signature if that can be had with so many.
+RECALL, HASHES = 0.9999, 128
 #: A component of more shingles or texts than this is verified in blocks.
 BLOCK_SHINGLES, BLOCK_TEXTS = 400_000, 800
 #: Shingles in more texts of a block pair than this are counted by matrix product.
 DENSE_FROM = 16
 
 
+def banding(threshold: float, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
+    """(bands, rows): the most rows, which let through the fewest other pairs,
+    whose bands find ``recall`` of the pairs at ``threshold`` within ``hashes``
+    hashes; single rows if even those need more.  What is left of the hashes
+    goes to further bands."""
+    if not 0 < threshold <= 1 or not 0 < recall < 1:
+        raise ValueError("a threshold above 0 and up to 1, and a recall between them, are needed")
+
+    def needed(rows: int) -> int:
+        miss = 1 - threshold**rows
+        return 1 if miss <= 0 else math.ceil(math.log(1 - recall) / math.log(miss))
+
+    rows = max((r for r in range(1, hashes + 1) if threshold**r > 1e-12 and needed(r) * r <= hashes), default=1)
+    return max(needed(rows), hashes // rows), rows
+
+
 def _signer(bands: int, rows: int, size: int):
     seeds = np.random.default_rng(20240229).integers(0, 2**32, (2, bands * rows), dtype=np.uint64).astype(np.uint32)
     factors, shifts = seeds[0] | np.uint32(1), seeds[1]
@@ -74,6 +94,8 @@ def _signer(bands: int, rows: int, size: int):
 def _link_counts(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, threshold: float) -> list[tuple[int, int, int]]:
     """(id, linked documents, least id it is joined to) of the texts with a link.
 
+    Counts are whole numbers and the threshold is the decimal fraction that it
+    is written as, so a pair exactly at it is linked however long the texts.
     ``side``: block of each text if only pairs across two blocks count.
     """
     n = len(ids)
@@ -83,7 +105,7 @@ def _link_counts(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], si
     grams, owner = grams[order], owner[order]
     starts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, dtype=np.int64)
     reps = np.diff(np.concatenate((starts, [len(grams)])))
-    shared = np.zeros((n, n), dtype=np.float32)
+    shared = np.zeros((n, n), dtype=np.int32)
     df = np.repeat(reps, reps)
     few = (df >= 2) & (df <= DENSE_FROM)
     run, who, size = np.repeat(np.arange(len(starts)), reps)[few], owner[few], df[few]
@@ -99,9 +121,11 @@ def _link_counts(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], si
         here = slice(*np.searchsorted(run, [low, low + 4096]))
         seen = np.zeros((n, int(run[here][-1]) - low + 1), dtype=np.float32)
         seen[who[here], run[here] - low] = 1
-        shared += seen @ seen.T
-    union = sizes[:, None] + sizes[None, :] - shared
-    linked = shared >= threshold * union - 1e-6 * union
+        shared += (seen @ seen.T).astype(np.int32)  # at most 4,096 each, exact as float32
+    least_share = Fraction(str(threshold))
+    both = sizes[:, None] + sizes[None, :]
+    # shared / (both - shared) >= a / b without a division
+    linked = shared * np.int64(least_share.numerator + least_share.denominator) >= both * np.int64(least_share.numerator)
     np.fill_diagonal(linked, False)
     if side is not None:
         linked &= side[:, None] != side[None, :]
@@ -161,13 +185,17 @@ def _texts(documents: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return documents.select(safe_id(id_col).alias("did"), F.col(text_col).cast("string").alias("text")).withColumns(text_keys(F.col("text"))).select("did", "k1", "k2", "text")
 
 
-def text_classes(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = SIZE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def text_classes(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, bands: int | None = None, rows: int | None = None) -> DataFrame:
     """One row per distinct text: k1, k2, n_docs, first_id, grams, links, class_id, is_first.
 
     ``links``: documents of other texts at or over the threshold;
     ``class_id``: least id of the documents joined by links and copies;
-    ``is_first``: the text that holds that document.
+    ``is_first``: the text that holds that document.  ``bands`` and ``rows``
+    are those that find ``recall`` of the pairs at the threshold, unless both
+    are given.
     """
+    if bands is None or rows is None:
+        bands, rows = banding(threshold, recall)
     docs = _texts(documents, text_col, id_col)
     signed = docs.mapInArrow(_signer(bands, rows, size), "did long, k1 long, k2 long, grams long, bands array<long>")
     reps = signed.groupBy("k1", "k2").agg(F.min("did").alias("first_id"), F.count(F.lit(1)).alias("n_docs"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))

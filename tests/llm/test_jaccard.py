@@ -1,4 +1,5 @@
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +66,33 @@ def test_other_thresholds(docs, threshold):
     expected = brute.near_duplicates(rows, threshold)
     found = {r["doc_id"]: r["n_links"] for r in jaccard.near_duplicates(docs.limit(120), threshold=threshold, bands=60, rows=2).collect()}
     assert found == {i: expected[k][1] for k, i, _ in rows}
+
+
+def test_banding():
+    assert jaccard.banding(0.8) == (25, 5)
+    for threshold in (0.05, 0.3, 0.5, 0.7, 0.8, 0.9, 0.99):
+        for recall in (0.9, 0.99, 0.9999):
+            bands, rows = jaccard.banding(threshold, recall)
+            assert 1 - (1 - threshold**rows) ** bands >= recall
+            assert rows == 1 or bands * rows <= jaccard.HASHES
+    assert jaccard.banding(1.0)[0] >= 1
+    for threshold, recall in ((0, 0.9), (1.1, 0.9), (0.8, 1), (0.8, 0)):
+        with pytest.raises(ValueError):
+            jaccard.banding(threshold, recall)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.95])
+def test_bands_follow_the_threshold(docs, threshold):
+    rows = rows_of(docs.limit(120))
+    expected = brute.near_duplicates(rows, threshold)
+    found = {r["doc_id"]: r["n_links"] for r in jaccard.near_duplicates(docs.limit(120), threshold=threshold).collect()}
+    assert found == {i: expected[k][1] for k, i, _ in rows}
+
+
+def test_pairs_beside_the_threshold():
+    """Unions over a million: one shared gram decides."""
+    for shared, linked in ((1_600_000, True), (1_599_999, False)):
+        a, b = np.arange(2_000_000, dtype=np.uint64), np.concatenate([np.arange(shared), np.arange(2_000_000, 3_600_000 - shared)]).astype(np.uint64)
+        assert len(np.union1d(a, b)) - (3_600_000 - shared) == 0
+        found = jaccard._link_counts(np.array([1, 2]), np.array([1, 1]), [a, b], None, 0.8)
+        assert bool(found) == linked
