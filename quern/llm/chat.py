@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import NULL_ID, checkpoint
+from quern.llm.common import NULL_ID, checkpoint, in_arrow
 
 ROLES = ("system", "user", "assistant")
 #: Other names of the roles.
@@ -148,7 +148,7 @@ def _ordered(conversations: DataFrame, conv_col: str, turn_col: str, role_col: s
 def train(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> Model:
     """Counts over all rows whose role is known; a few hundred reach the driver."""
     rows = conversations.select(F.col(conv_col).alias("c"), F.col(turn_col).alias("t"), role_code(F.col(role_col)).alias("r"), F.col(text_col).cast("string").alias("text")).where("r is not null")
-    seen = rows.select("r", "text").mapInArrow(_features_of, "kind string, role int, class int, n long")
+    seen = rows.select("r", "text").transform(in_arrow, _features_of, "kind string, role int, class int, n long")
     pairs = rows.groupBy("c", "t").agg(F.min("r").alias("r"))
     after = pairs.select("c", (F.col("t") - 1).alias("t"), F.col("r").alias("next"))
     steps = pairs.join(after, ["c", "t"]).groupBy("r", "next").count().select(F.lit("step").alias("kind"), F.col("r").alias("role"), F.col("next").alias("class"), F.col("count").alias("n"))
@@ -255,11 +255,11 @@ def parse_transcripts(conversations: DataFrame, model: Model | None = None, conv
         return df.repartition(*group_keys).sortWithinPartitions(*order).select(*keep)
 
     short = rows.join(lone, "c", "left_anti")
-    done = by(_GROUP, columns, short, order).mapInArrow(lambda parts: _segments(parts, whole, columns, finish), _OUT)
+    done = by(_GROUP, columns, short, order).transform(in_arrow, lambda parts: _segments(parts, whole, columns, finish), _OUT)
     if lone.isEmpty():
         return _named(done, conv_col, turn_col, role_col)
     long_ = checkpoint(rows.join(lone, "c", "left_semi"))
-    found = by(_GROUP, columns, long_, order).mapInArrow(lambda parts: _segments(parts, matrix, columns, matrices), "c long, s long, s2 long, s3 long, m array<double>")
+    found = by(_GROUP, columns, long_, order).transform(in_arrow, lambda parts: _segments(parts, matrix, columns, matrices), "c long, s long, s2 long, s3 long, m array<double>")
 
     def chain(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -277,9 +277,9 @@ def parse_transcripts(conversations: DataFrame, model: Model | None = None, conv
         if held:
             yield flat(ends(held))
 
-    bounds = found.repartition("c").sortWithinPartitions(*_GROUP).mapInArrow(chain, "c long, s long, s2 long, s3 long, before long, after long")
+    bounds = found.repartition("c").sortWithinPartitions(*_GROUP).transform(in_arrow, chain, "c long, s long, s2 long, s3 long, before long, after long")
     bound = long_.join(checkpoint(bounds), _GROUP)
-    rest = by(_GROUP, [*columns, "before", "after"], bound, order).mapInArrow(lambda parts: _segments(parts, between, columns, finish), _OUT)
+    rest = by(_GROUP, [*columns, "before", "after"], bound, order).transform(in_arrow, lambda parts: _segments(parts, between, columns, finish), _OUT)
     return _named(done.unionByName(rest), conv_col, turn_col, role_col)
 
 

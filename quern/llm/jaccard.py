@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import textnum
-from quern.llm.common import NULL_ID, checkpoint, has_words, safe_id, text_keys
+from quern.llm.common import NULL_ID, checkpoint, has_words, in_arrow, safe_id, text_keys
 from quern.llm.components import components
 
 SIZE = 5
@@ -197,7 +197,7 @@ def text_classes(documents: DataFrame, text_col: str = "text", id_col: str = "do
     if bands is None or rows is None:
         bands, rows = banding(threshold, recall)
     docs = _texts(documents, text_col, id_col)
-    signed = docs.mapInArrow(_signer(bands, rows, size), "did long, k1 long, k2 long, grams long, bands array<long>")
+    signed = docs.transform(in_arrow, _signer(bands, rows, size), "did long, k1 long, k2 long, grams long, bands array<long>")
     reps = signed.groupBy("k1", "k2").agg(F.min("did").alias("first_id"), F.count(F.lit(1)).alias("n_docs"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
     reps = checkpoint(reps.withColumn("rid", F.monotonically_increasing_id()))
     marks = reps.where("grams > 0").select("rid", F.explode("bands").alias("h"))
@@ -213,7 +213,7 @@ def text_classes(documents: DataFrame, text_col: str = "text", id_col: str = "do
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     dealt = texts.withColumn("o", other).select("cid", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "rid", "n_docs", "block", "text")
     dealt = dealt.repartition("cid", "i", "j").sortWithinPartitions("cid", "i", "j", "rid")
-    checked = checkpoint(dealt.mapInArrow(_verifier(size, threshold), "rid long, links long, root long"))
+    checked = checkpoint(dealt.transform(in_arrow, _verifier(size, threshold), "rid long, links long, root long"))
     roots = components(checked, "rid", "root")
     links = checked.groupBy("rid").agg(F.sum("links").alias("links"))
     classed = (

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from quern.llm.common import BROADCAST_GROUPS, indexed, safe_id, sized, text_keys
+from quern.llm.common import BROADCAST_GROUPS, in_arrow, indexed, safe_id, sized, text_keys
 
 BLOCK_ROWS = 8
 #: Weights in proportion to the rows of a source to this power.
@@ -163,7 +163,7 @@ def mix(documents: DataFrame, weights: Mapping | None = None, source_col: str =
                 rows = schedule(fluid, task * span, (task + 1) * span)
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2))], names=["__code", "block", "slot"])
 
-    slots = spark.range(0, tasks, 1, max(1, tasks)).mapInArrow(stage, "__code int, block long, slot long")
+    slots = spark.range(0, tasks, 1, max(1, tasks)).transform(in_arrow, stage, "__code int, block long, slot long")
     field = StructField("__source", documents.schema[source_col].dataType)
     named = spark.createDataFrame([(s, i) for i, s in enumerate(names)], StructType([field, StructField("__code", IntegerType())]))
     text = {} if text_col is None else text_keys(F.col(text_col))

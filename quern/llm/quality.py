@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from quern.llm import textnum
-from quern.llm.common import checkpoint, safe_id, sized, text_keys
+from quern.llm.common import checkpoint, in_arrow, safe_id, sized, text_keys
 
 ORDER = 5
 #: The symbol before a text; no code point.
@@ -226,8 +226,8 @@ class Model:
 def train(trusted_text: DataFrame) -> Model:
     """The model of a one-column frame of texts."""
     shards = int(trusted_text.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = trusted_text.mapInArrow(_counter(shards), "shard int, blob binary, times binary").repartition(shards, "shard")
-    table = checkpoint(sent.mapInArrow(_add_up, "g binary, n long"))
+    sent = trusted_text.transform(in_arrow, _counter(shards), "shard int, blob binary, times binary").repartition(shards, "shard")
+    table = checkpoint(sent.transform(in_arrow, _add_up, "g binary, n long"))
     counted = table.select(F.lit(ORDER).alias("order"), "g", "n")
     for order in range(ORDER - 1, 0, -1):
         table = table.select(_suffix(order).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
@@ -402,18 +402,18 @@ def score(documents: DataFrame, model: Model, text_col: str = "text") -> DataFra
     shards = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = documents.columns.index(text_col)
     # Both readings take the same columns, so that both have the same plan.
-    asked = checkpoint(documents.mapInArrow(_asker(shards, at), "shard int, chunk long, blob binary"))
-    distinct = asked.select("shard", "blob").repartition(shards, "shard").mapInArrow(_distinct, "shard int, g binary")
+    asked = checkpoint(documents.transform(in_arrow, _asker(shards, at), "shard int, chunk long, blob binary"))
+    distinct = asked.select("shard", "blob").repartition(shards, "shard").transform(in_arrow, _distinct, "shard int, g binary")
     costs = gram_bits(distinct, model).select("shard", F.lit(-1).cast("long").alias("chunk"), F.col("g").alias("blob"), "bits")
     requests = costs.unionByName(asked.withColumn("bits", F.lit(None).cast("double")))
-    answers = requests.repartition(shards, "shard").sortWithinPartitions("shard", "chunk").mapInArrow(_answer, "chunk long, shard int, blob binary")
+    answers = requests.repartition(shards, "shard").sortWithinPartitions("shard", "chunk").transform(in_arrow, _answer, "chunk long, shard int, blob binary")
     kept = [i for i in range(len(documents.columns)) if i != at]
-    packs = documents.mapInArrow(_pack(at), "chunk long, shard int, blob binary")
+    packs = documents.transform(in_arrow, _pack(at), "chunk long, shard int, blob binary")
     # A chunk's number says which task of ``documents`` it is of: each has one here too.
     tasks = documents.rdd.getNumPartitions()
     met = packs.unionByName(answers).repartitionById(max(tasks, 1), F.shiftright("chunk", 24).cast("int")).sortWithinPartitions("chunk", "shard")
     schema = StructType([*(documents.schema.fields[i] for i in kept), StructField("__symbols", LongType()), StructField("__bits", DoubleType())])
-    return met.mapInArrow(_scorer(shards, at, kept), schema)
+    return met.transform(in_arrow, _scorer(shards, at, kept), schema)
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality", toxic_col: str = "toxic") -> DataFrame:

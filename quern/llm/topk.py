@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.common import in_arrow
+
 SHARD_ROWS, BLOCK_QUERIES = 16_384, 2_048
 #: Entries of a list that are read in the first round; rounds double.
 FIRST_DEPTH = 32
@@ -150,6 +152,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     dealt = base.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"), F.lit(0).alias("role"), "key", "vec_id", "v")
     sent = asked.select(every(shards).alias("shard"), F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("role"), "key", "vec_id", "v")
     met = dealt.unionByName(sent).repartition("shard", "block").sortWithinPartitions("shard", "block", "role")
-    found = met.mapInArrow(_answer(k), "qkey long, query_id long, vec_id long, score long")
+    found = met.transform(in_arrow, _answer(k), "qkey long, query_id long, vec_id long, score long")
     best = Window.partitionBy("qkey", "query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
