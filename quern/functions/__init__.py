@@ -475,7 +475,9 @@ def corr(a: Column | str, b: Column | str) -> Column:
     """Pearson correlation of the pairs without nulls; null without spread."""
     both = _col(a).isNotNull() & _col(b).isNotNull()
     x, y = F.when(both, _col(a).cast("double")), F.when(both, _col(b).cast("double"))
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    # Merged sums of equal values can leave a rest, so spread is told from the values; NaN stays NaN.
+    spread = [(F.min(v) < F.max(v)) | F.isnan(F.max(v)) for v in (x, y)]
+    return F.when(spread[0] & spread[1], F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def percentile(value: Column | str, p: float) -> Column:

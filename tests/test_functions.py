@@ -36,6 +36,13 @@ def test_corr(spark):
     assert agg(spark, [], "a double, b double", Q.corr("a", "b"))[0] is None
 
 
+def test_corr_of_equal_values_in_several_partitions(spark):
+    """187 values of 3.0 a partition: 3.0 / 187 * 187 isn't 3.0, so merged sums have a rest of spread."""
+    rows = spark.range(0, 2 * 187, 1, 2).union(spark.range(7)).select(F.lit(3.0).alias("a"), F.col("id").cast("double").alias("b"), F.lit(float("nan")).alias("c"))
+    found = rows.agg(Q.corr("a", "b"), Q.corr("b", "a"), Q.corr("b", "b"), Q.corr("b", "c")).first()
+    assert found[0] is None and found[1] is None and found[2] == pytest.approx(1.0) and np.isnan(found[3])
+
+
 def test_percentiles(spark):
     rows = [(float(x),) for x in (1, 2, 3, 4, 10)]
     assert agg(spark, rows, "x double", Q.median("x"), Q.percentile("x", 0.25), Q.percentile_approx("x", 0.1)) == (3.0, 2.0, pytest.approx(1.4))
