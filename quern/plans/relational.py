@@ -175,7 +175,10 @@ def join_cross(region, nation):
 
 @query("part", "supplier", sql="SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_size >= s_nationkey + 20 AND p_size < s_nationkey + 23")
 def join_theta_range(part, supplier):
-    return part.join(supplier, (F.col("p_size") >= F.col("s_nationkey") + 20) & (F.col("p_size") < F.col("s_nationkey") + 23)).select("p_partkey", "s_suppkey")
+    # Sizes are whole numbers, so the range is three of them, and parts meet suppliers by equal keys.
+    # A part has thousands of matches, so a small file of parts is dealt out to all cores first.
+    sizes = F.sequence(F.col("s_nationkey") + 20, F.col("s_nationkey") + 22)
+    return part.repartition("p_partkey").join(supplier.select("s_suppkey", F.explode(sizes).alias("size")), F.col("p_size") == F.col("size")).select("p_partkey", "s_suppkey")
 
 
 @query("lineitem", sql="""SELECT a.l_orderkey, a.l_linenumber, n FROM lineitem a JOIN (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY ALL) b USING (l_orderkey, l_linenumber)""")
