@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern import ml
+from quern.ml import neighbors
 from quern.ml.store import ModelStore
 
 
@@ -89,6 +90,34 @@ def test_neighbors(credit, session):
     assert mean.where("prediction <> label").count() == 0
 
 
+def test_neighbors_measure_few_rows():
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(30, 16)), rng.normal(size=(5000, 16))
+    b[4000:4010] = b[7] = a[3]
+    row, at, gap = neighbors._candidates(a, b, 5)
+    every = sum((a[:, j, None] - b[None, :, j]) ** 2 for j in range(16))
+    assert len(row) < 0.01 * every.size and (gap == every[row, at]).all()
+    for i in range(30):
+        assert set(np.flatnonzero(every[i] <= np.sort(every[i])[4])) <= set(at[row == i])
+    b[0, 0], a[1, 1] = np.inf, 1e200
+    for one, two in ((a, b), (a[:1], b[1:4])):  # products can't hold these; fewer rows than k
+        row, at, gap = neighbors._candidates(one, two, 5)
+        assert set(row) == set(range(len(one))) and (np.bincount(row) >= min(5, len(two))).all()
+
+
+def test_neighbors_of_many_ties_in_blocks(session, monkeypatch):
+    monkeypatch.setattr(neighbors, "TRAIN_ROWS", 90)
+    monkeypatch.setattr(neighbors, "QUERY_ROWS", 40)
+    rng = np.random.default_rng(5)
+    rows = [(*map(float, p), int(y)) for p, y in zip(rng.integers(0, 8, (400, 3)), rng.integers(0, 4, 400), strict=True)]
+    table = session.createDataFrame([*rows, (None, 1.0, 1.0, 2), (9.0, 9.0, 9.0, None)], "a double, b double, c double, label int")
+    found = {(r["a"], r["b"], r["c"]): (r["prediction"], r["mean"]) for r in ml.KNeighborsRegressor(["a", "b", "c"], "label", "mean", k=7).fit(table).transform(ml.KNeighborsClassifier(["a", "b", "c"], "label", k=7).fit(table).transform(table)).collect()}
+    assert found[None, 1.0, 1.0] == (None, None)
+    for x in {r[:3] for r in rows} | {(9.0, 9.0, 9.0)}:
+        near = [y for _, y in sorted((sum((p - q) ** 2 for p, q in zip(x, r, strict=False)), r[3]) for r in rows)[:7]]
+        assert found[x] == (min(set(near), key=lambda v: (-near.count(v), v)), pytest.approx(sum(near) / 7))
+
+
 def test_ensembles_and_tuning(credit):
     forest = ml.RandomForestClassifier(["a", "b"], "label", numTrees=5).fit(credit).transform(credit)
     assert forest.where(F.col("prediction") == F.col("label")).count() > 170
