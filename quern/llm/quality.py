@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from quern.llm import textnum
-from quern.llm.common import checkpoint, in_arrow, safe_id, sized, text_keys
+from quern.llm.common import checkpoint, in_arrow, release, safe_id, sized, text_keys
 
 ORDER = 5
 #: The symbol before a text; no code point.
@@ -403,8 +403,10 @@ def score(documents: DataFrame, model: Model, text_col: str = "text") -> DataFra
     at = documents.columns.index(text_col)
     # Both readings take the same columns, so that both have the same plan.
     asked = checkpoint(documents.transform(in_arrow, _asker(shards, at), "shard int, chunk long, blob binary"))
+    release(documents.sparkSession)  # what counting left
     distinct = asked.select("shard", "blob").repartition(shards, "shard").transform(in_arrow, _distinct, "shard int, g binary")
-    costs = gram_bits(distinct, model).select("shard", F.lit(-1).cast("long").alias("chunk"), F.col("g").alias("blob"), "bits")
+    costs = checkpoint(gram_bits(distinct, model).select("shard", F.lit(-1).cast("long").alias("chunk"), F.col("g").alias("blob"), "bits"))
+    release(documents.sparkSession)  # what the joins of the orders sent
     requests = costs.unionByName(asked.withColumn("bits", F.lit(None).cast("double")))
     answers = requests.repartition(shards, "shard").sortWithinPartitions("shard", "chunk").transform(in_arrow, _answer, "chunk long, shard int, blob binary")
     kept = [i for i in range(len(documents.columns)) if i != at]
@@ -473,6 +475,7 @@ def _rated(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     text = documents.where(F.col(text_col).isNotNull()).select(id_col, text_col).join(told.where("not held"), F.col(id_col) == F.col("__id"), "left_semi").select(text_col)
     tongued = documents.withColumn("__language", F.coalesce(F.col(lang_col).cast("string"), F.lit(""))).coalesce(tasks)
     scored = checkpoint(score(tongued, train(text.coalesce(tasks)), text_col))
+    release(documents.sparkSession)
     trusted = scored.where("__symbols > 0").join(told, F.col(id_col) == F.col("__id")).select("__language", "__symbols", "__bits", "held")
     return scored.join(sized(language_limits(trusted, quantile), BROADCAST_LANGUAGES), "__language", "left")
 
